@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyfold.llm import exact_dedup, line_dedup
+from manyfold.llm import exact_dedup, line_dedup, substring_dedup
 from manyfold.llm.bpe import bpe_encode
 from manyfold.llm.common import given_id, table
 from manyfold.llm.secrets import secret_scan
@@ -46,6 +46,11 @@ def op4_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_doc_id(rows, "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.substring_dedup(_documents(spark, sf_dir))
+    return _with_doc_id(rows, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.line_dedup(_documents(spark, sf_dir))
     return _with_doc_id(rows, "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -58,11 +63,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_secret_scan,
         op3_prefix_bpe,
         op4_bloom_exact_dedup,
+        op8_difference_cover_dedup,
         op10_line_runs,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op4_bloom_exact_dedup": exact_dedup.ORACLE,
+    "op8_difference_cover_dedup": substring_dedup.ORACLE,
     "op10_line_runs": line_dedup.ORACLE,
 }
