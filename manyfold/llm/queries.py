@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyfold.llm import exact_dedup, line_dedup, substring_dedup
+from manyfold.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from manyfold.llm.bpe import bpe_encode
 from manyfold.llm.common import given_id, table
 from manyfold.llm.secrets import secret_scan
@@ -51,6 +51,11 @@ def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_doc_id(rows, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.near_dedup(_documents(spark, sf_dir), shingle=4, similarity=80)
+    return _with_doc_id(rows, "n_shingles", "component_id", "kept")
+
+
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.line_dedup(_documents(spark, sf_dir))
     return _with_doc_id(rows, "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_prefix_bpe,
         op4_bloom_exact_dedup,
         op8_difference_cover_dedup,
+        op9_chosen_path_near_dedup,
         op10_line_runs,
     )
 }
@@ -71,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_bloom_exact_dedup": exact_dedup.ORACLE,
     "op8_difference_cover_dedup": substring_dedup.ORACLE,
+    "op9_chosen_path_near_dedup": near_dedup.ORACLE,
     "op10_line_runs": line_dedup.ORACLE,
 }
