@@ -145,9 +145,13 @@ def text_chunks(column: pa.Array, limit: int = _CHUNK):
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: ASCII bytes that are neither letters nor digits: the separators of plain words.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words [^ \\t-\\r]+ and, for each text, the number of its first word (n + 1 entries)."""
-    inside = np.concatenate(([False], ~_IS_SPACE[data], [False]))
+    inside = np.concatenate(([False], ~separators[data], [False]))
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     cuts = offsets[1:-1]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from manyfold.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from manyfold.llm.bpe import bpe_encode
 from manyfold.llm.common import given_id, table
+from manyfold.llm.decontaminate import find_leaks
 from manyfold.llm.secrets import secret_scan
 from manyfold.llm.sharding import shard
 
@@ -46,6 +47,11 @@ def op4_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_doc_id(rows, "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return _with_doc_id(rows, "item_id", "edits", "first_word", "n_words")
+
+
 def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.substring_dedup(_documents(spark, sf_dir))
     return _with_doc_id(rows, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_secret_scan,
         op3_prefix_bpe,
         op4_bloom_exact_dedup,
+        op5_cgk_decontamination,
         op8_difference_cover_dedup,
         op9_chosen_path_near_dedup,
         op10_line_runs,
