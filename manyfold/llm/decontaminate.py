@@ -111,6 +111,22 @@ class Benchmark:
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
         return key
 
+    def _candidates(self, words, starts, end_of, dense, text, near) -> None:
+        mine = [np.flatnonzero(d[starts]) for d in dense]
+        steps = max(int(s[-1]) + 1 for c, own in zip(self.classes, mine, strict=True) if len(own) for s in c["samples"])
+        for r in range(REPETITIONS):
+            walk = embed(words, starts, end_of[starts], steps, r)
+            for c, own in zip(self.classes, mine, strict=True):
+                if not len(own):
+                    continue
+                keys, members = c["keys"][r]
+                key = self._key(walk[c["samples"][r]][:, own])
+                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                for k in np.flatnonzero(hi > lo).tolist():
+                    start = int(starts[own[k]])
+                    for m in members[lo[k] : hi[k]].tolist():
+                        near.setdefault((int(text[start]), m), []).append(start)
+
     def find(self, column) -> list[tuple[int, int, int, int, int]]:
         """(row, item id, edits, first word, words) of the texts' nearest stretch to each item they hold."""
         out = []
@@ -124,17 +140,13 @@ class Benchmark:
             total = np.concatenate(([0], np.cumsum(flag)))
             places = np.arange(len(words))
             near: dict[tuple[int, int], list[int]] = {}
+            dense = []
             for c in self.classes:
                 stop = np.minimum(places + c["window"] - 1, end_of)
-                starts = np.flatnonzero(total[np.maximum(stop, places)] - total[:-1] >= c["need"])
-                for r, (sample, (keys, members)) in enumerate(zip(c["samples"], c["keys"], strict=True)):
-                    if not len(starts):
-                        break
-                    key = self._key(embed(words, starts, end_of[starts], int(sample[-1]) + 1, r)[sample])
-                    lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    for k in np.flatnonzero(hi > lo).tolist():
-                        for m in members[lo[k] : hi[k]].tolist():
-                            near.setdefault((int(text[starts[k]]), m), []).append(int(starts[k]))
+                dense.append(total[np.maximum(stop, places)] - total[:-1] >= c["need"])
+            every = np.flatnonzero(np.logical_or.reduce(dense))
+            for k in range(0, len(every), 8192):  # walks are shared by all classes
+                self._candidates(words, every[k : k + 8192], end_of, dense, text, near)
             for (t, m), starts in near.items():
                 item, edits = self.words[m], self.edits[m]
                 best = None
