@@ -11,6 +11,7 @@ from manyfold.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from manyfold.llm.bpe import bpe_encode
 from manyfold.llm.common import given_id, table
 from manyfold.llm.decontaminate import find_leaks
+from manyfold.llm.quality import fold_is_not, quality_scores
 from manyfold.llm.secrets import secret_scan
 from manyfold.llm.sharding import shard
 
@@ -52,6 +53,16 @@ def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_doc_id(rows, "item_id", "edits", "first_word", "n_words")
 
 
+def _held_out(fold: int, folds: int):
+    id_col = given_id("_id")
+    return F.coalesce((F.crc32(id_col.cast("string").cast("binary")) % folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op6_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_scores(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), fold_is_not(1, 3))
+    return _with_doc_id(rows, _held_out(1, 3), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.substring_dedup(_documents(spark, sf_dir))
     return _with_doc_id(rows, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -75,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_prefix_bpe,
         op4_bloom_exact_dedup,
         op5_cgk_decontamination,
+        op6_quality_fourier,
         op8_difference_cover_dedup,
         op9_chosen_path_near_dedup,
         op10_line_runs,
