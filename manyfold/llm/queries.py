@@ -14,6 +14,7 @@ from manyfold.llm.decontaminate import find_leaks
 from manyfold.llm.quality import fold_is_not, quality_scores
 from manyfold.llm.secrets import secret_scan
 from manyfold.llm.sharding import shard
+from manyfold.llm.toxicity import toxicity_scores
 
 SHARDS = 8
 
@@ -63,6 +64,11 @@ def op6_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_doc_id(rows, _held_out(1, 3), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity_scores(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), fold_is_not(2, 4))
+    return _with_doc_id(rows, _held_out(2, 4), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.substring_dedup(_documents(spark, sf_dir))
     return _with_doc_id(rows, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_bloom_exact_dedup,
         op5_cgk_decontamination,
         op6_quality_fourier,
+        op7_weak_toxicity,
         op8_difference_cover_dedup,
         op9_chosen_path_near_dedup,
         op10_line_runs,
