@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.common import given_id, keyed, mix, pack, partitions, text_chunks, unpack, window_hashes, word_hashes, word_spans, written
+from manyfold.llm.common import NULL_ID, given_id, keyed, mix, pack, partitions, text_chunks, unpack, window_hashes, word_hashes, word_spans, written
 from manyfold.llm.components import components
 
 TOKENS = 48
@@ -267,6 +267,18 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     )
 
 
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, the one with the least id; columns unchanged.
+
+    Only the ids that go take part in the anti-join; documents without words stay, and so do all rows of an id that
+    is kept for one of its texts.
+    """
+    verdict = written(near_dedup(docs, shingle, similarity, id_col, text_col), "near-copies")
+    gone = verdict.groupBy("_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("_id").alias("_gone"))
+    row_id = F.coalesce(F.col(f"_docs.{id_col}").cast("long"), F.lit(NULL_ID))
+    return docs.alias("_docs").join(gone.alias("_out"), row_id == F.col("_out._gone"), "left_anti")
+
+
 ORACLE = """
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
