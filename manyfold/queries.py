@@ -3,8 +3,240 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from manyfold.engine import Engine
+from manyfold.operators.binary import join
+from manyfold.plans.planner import BreadthFirst, Planner, left_deep
+from manyfold.plans.query import MultiJoin
+from manyfold.plans.stats import collect_stats
+
+_BUYS = "SELECT DISTINCT o_custkey AS b_custkey, l_suppkey AS b_suppkey FROM orders, lineitem WHERE o_orderkey = l_orderkey"
+_EDGES = "SELECT DISTINCT x.l_partkey AS p, y.l_partkey AS q FROM lineitem x, lineitem y WHERE x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey AND x.l_quantity >= 30 AND y.l_quantity >= 30"
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@dataclass(frozen=True)
+class JoinQuery:
+    """relations: alias -> table or subquery (in parentheses in SQL); predicates joined by AND; output: name -> expression."""
+
+    relations: dict[str, str]
+    predicates: tuple[str, ...]
+    output: dict[str, str]
+
+    def sql(self) -> str:
+        source = ", ".join(f"{'(' + t + ')' if ' ' in t else t} {a}" for a, t in self.relations.items())
+        columns = ", ".join(f"{e} AS {n}" for n, e in self.output.items())
+        return f"SELECT {columns} FROM {source} WHERE {' AND '.join(self.predicates)}"
+
+    def run(self, mode: str, **planner) -> Callable[[SparkSession, str], DataFrame]:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            cells = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            engine = Engine(spark, Planner(mode=mode, cells=cells, **planner))
+            relations = {a: _source(spark, sf_dir, t) for a, t in self.relations.items()}
+            return engine.join(relations, self.predicates, [(e, n) for n, e in self.output.items()])
+
+        return query
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _source(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A table, or one of the two derived relations as DataFrames."""
+    if text == _BUYS:
+        orders, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+        pairs = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+        return pairs.select(F.col("o_custkey").alias("b_custkey"), F.col("l_suppkey").alias("b_suppkey")).distinct()
+    if text == _EDGES:
+        lines = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 30").select("l_orderkey", "l_partkey")
+        x, y = lines.alias("x"), lines.alias("y")
+        near = x.join(y, (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("x.l_partkey") < F.col("y.l_partkey")))
+        return near.select(F.col("x.l_partkey").alias("p"), F.col("y.l_partkey").alias("q")).distinct()
+    return _table(spark, sf_dir, text)
+
+
+_CYCLE = ("l.l_orderkey = o.o_orderkey", "o.o_custkey = c.c_custkey", "c.c_nationkey = s.s_nationkey", "s.s_suppkey = l.l_suppkey")
+_CYCLE_OUT = {"orderkey": "o.o_orderkey", "linenumber": "l.l_linenumber", "custkey": "c.c_custkey", "suppkey": "s.s_suppkey", "nationkey": "s.s_nationkey", "price": "l.l_extendedprice"}
+_CYCLE_IN = {"l": "lineitem", "o": "orders", "c": "customer", "s": "supplier"}
+
+JOINS: dict[str, JoinQuery] = {
+    "cycle4": JoinQuery(_CYCLE_IN, _CYCLE, _CYCLE_OUT),
+    "chain": JoinQuery(
+        {"r": "region", "n": "nation", "c": "customer", "o": "orders"},
+        ("r.r_regionkey = n.n_regionkey", "n.n_nationkey = c.c_nationkey", "c.c_custkey = o.o_custkey"),
+        {"region": "r.r_name", "nation": "n.n_name", "custkey": "c.c_custkey", "orderkey": "o.o_orderkey", "total": "o.o_totalprice"},
+    ),
+    "star": JoinQuery(
+        {"l": "lineitem", "o": "orders", "p": "part", "s": "supplier"},
+        ("l.l_orderkey = o.o_orderkey", "l.l_partkey = p.p_partkey", "l.l_suppkey = s.s_suppkey", "o.o_orderstatus = 'F'"),
+        {"orderkey": "o.o_orderkey", "linenumber": "l.l_linenumber", "brand": "p.p_brand", "supplier": "s.s_name", "quantity": "l.l_quantity"},
+    ),
+    "triangle": JoinQuery(
+        {"c": "customer", "s": "supplier", "b": _BUYS},
+        ("c.c_nationkey = s.s_nationkey", "b.b_custkey = c.c_custkey", "b.b_suppkey = s.s_suppkey"),
+        {"custkey": "c.c_custkey", "suppkey": "s.s_suppkey", "nationkey": "c.c_nationkey"},
+    ),
+    "clique4": JoinQuery(
+        {"ab": _EDGES, "ac": _EDGES, "ad": _EDGES, "bc": _EDGES, "bd": _EDGES, "cd": _EDGES},
+        ("ab.p = ac.p", "ab.p = ad.p", "ab.q = bc.p", "ab.q = bd.p", "ac.q = bc.q", "ac.q = cd.p", "ad.q = bd.q", "ad.q = cd.q"),
+        {"a": "ab.p", "b": "ab.q", "c": "ac.q", "d": "ad.q"},
+    ),
+    "cycle_tails": JoinQuery(
+        {**_CYCLE_IN, "n": "nation", "r": "region", "p": "part"},
+        (*_CYCLE, "s.s_nationkey = n.n_nationkey", "n.n_regionkey = r.r_regionkey", "l.l_partkey = p.p_partkey"),
+        {**_CYCLE_OUT, "nation": "n.n_name", "region": "r.r_name", "brand": "p.p_brand"},
+    ),
+    "residual": JoinQuery(
+        _CYCLE_IN,
+        (*_CYCLE, "c.c_acctbal > s.s_acctbal", "l.l_quantity < 25", "l.l_quantity * l.l_extendedprice > o.o_totalprice + s.s_acctbal"),
+        _CYCLE_OUT,
+    ),
+    "composite": JoinQuery(
+        {"x": "lineitem", "y": "lineitem", "p": "part"},
+        ("x.l_orderkey = y.l_orderkey", "x.l_suppkey = y.l_suppkey", "x.l_partkey = p.p_partkey", "x.l_linenumber < y.l_linenumber"),
+        {"orderkey": "x.l_orderkey", "first_line": "x.l_linenumber", "second_line": "y.l_linenumber", "brand": "p.p_brand"},
+    ),
+    "self_join": JoinQuery(
+        {"x": "customer", "y": "customer", "s": "supplier"},
+        ("x.c_nationkey = y.c_nationkey", "x.c_nationkey = s.s_nationkey", "x.c_mktsegment = y.c_mktsegment", "x.c_custkey < y.c_custkey", "x.c_acctbal > 9000", "y.c_acctbal > 9000"),
+        {"x_custkey": "x.c_custkey", "y_custkey": "y.c_custkey", "suppkey": "s.s_suppkey"},
+    ),
+    "empty_side": JoinQuery(
+        _CYCLE_IN,
+        (*_CYCLE, "o.o_orderstatus = 'none'"),
+        _CYCLE_OUT,
+    ),
+    "mixed_widths": JoinQuery(
+        {"l": "lineitem", "n": "nation", "s": "supplier"},
+        ("l.l_suppkey = s.s_suppkey", "s.s_nationkey = n.n_nationkey", "l.l_linenumber = n.n_regionkey"),
+        {"orderkey": "l.l_orderkey", "linenumber": "l.l_linenumber", "nation": "n.n_name"},
+    ),
+    "three_relation_predicate": JoinQuery(
+        {"c": "customer", "o": "orders", "n": "nation"},
+        ("c.c_custkey = o.o_custkey", "c.c_nationkey = n.n_nationkey", "c.c_acctbal + n.n_regionkey > o.o_totalprice / 10"),
+        {"custkey": "c.c_custkey", "orderkey": "o.o_orderkey", "nation": "n.n_name"},
+    ),
+    "disconnected": JoinQuery(
+        {"r": "region", "n": "nation", "m": "nation"},
+        ("r.r_regionkey = n.n_regionkey", "m.n_nationkey < 5"),
+        {"region": "r.r_name", "nation": "n.n_name", "other": "m.n_name"},
+    ),
+}
+
+
+def _pair(left: str, right: str, left_columns: dict[str, str], right_columns: dict[str, str], **how):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        l, r = (_table(spark, sf_dir, t).select(*(F.expr(e).alias(n) for n, e in c.items())) for t, c in ((left, left_columns), (right, right_columns)))  # noqa: E741
+        return join(l, r, **how)
+
+    return query
+
+
+_CUST = {"custkey": "c_custkey", "balance": "c_acctbal"}
+_ORD = {"o_custkey": "o_custkey", "orderkey": "o_orderkey"}
+_C = "(SELECT c_custkey AS custkey, c_acctbal AS balance FROM customer)"
+_O = "(SELECT o_custkey, o_orderkey AS orderkey FROM orders WHERE o_totalprice > 150000)"
+_BIG = {"o_custkey": "CASE WHEN o_totalprice > 150000 THEN o_custkey END", "orderkey": "o_orderkey"}
+_O_BIG = "(SELECT CASE WHEN o_totalprice > 150000 THEN o_custkey END AS o_custkey, o_orderkey AS orderkey FROM orders)"
+_ON = [("custkey", "o_custkey")]
+_HALF = {"custkey": "CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END", "balance": "c_acctbal"}
+_NAT = {"key": "CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey END", "nation": "n_name"}
+_HALF_SQL = "(SELECT CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS custkey, c_acctbal AS balance FROM customer)"
+_NAT_SQL = "(SELECT CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey END AS key, n_name AS nation FROM nation)"
+
+PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "join_left": (_pair("customer", "orders", _CUST, _BIG, on=_ON, how="left"), f"SELECT * FROM {_C} c LEFT JOIN {_O_BIG} o ON c.custkey = o.o_custkey"),
+    "join_right": (_pair("customer", "orders", _CUST, _BIG, on=_ON, how="right"), f"SELECT * FROM {_C} c RIGHT JOIN {_O_BIG} o ON c.custkey = o.o_custkey"),
+    "join_full": (_pair("customer", "orders", _CUST, _BIG, on=_ON, how="full"), f"SELECT * FROM {_C} c FULL JOIN {_O_BIG} o ON c.custkey = o.o_custkey"),
+    "join_semi": (_pair("customer", "orders", _CUST, _BIG, on=_ON, how="semi"), f"SELECT * FROM {_C} c WHERE EXISTS (SELECT 1 FROM {_O_BIG} o WHERE c.custkey = o.o_custkey)"),
+    "join_anti": (_pair("customer", "orders", _CUST, _BIG, on=_ON, how="anti"), f"SELECT * FROM {_C} c WHERE NOT EXISTS (SELECT 1 FROM {_O_BIG} o WHERE c.custkey = o.o_custkey)"),
+    "join_existence": (_pair("customer", "orders", _CUST, _BIG, on=_ON, how="existence"), f"SELECT *, EXISTS (SELECT 1 FROM {_O_BIG} o WHERE c.custkey = o.o_custkey) AS \"exists\" FROM {_C} c"),
+    "join_null_safe": (_pair("customer", "nation", _HALF, _NAT, on=[("custkey", "key")], null_safe=True), f"SELECT * FROM {_HALF_SQL} c JOIN {_NAT_SQL} n ON c.custkey IS NOT DISTINCT FROM n.key"),
+    "join_null_keys": (_pair("customer", "nation", _HALF, _NAT, on=[("custkey", "key")]), f"SELECT * FROM {_HALF_SQL} c JOIN {_NAT_SQL} n ON c.custkey = n.key"),
+    "join_broadcast": (_pair("customer", "nation", _HALF, _NAT, on=[("custkey", "key")], strategy="broadcast"), f"SELECT * FROM {_HALF_SQL} c JOIN {_NAT_SQL} n ON c.custkey = n.key"),
+    "join_shuffle_hash": (_pair("customer", "orders", _CUST, _ORD, on=_ON, strategy="shuffle_hash"), f"SELECT * FROM {_C} c JOIN (SELECT o_custkey, o_orderkey AS orderkey FROM orders) o ON c.custkey = o.o_custkey"),
+    "join_merge": (_pair("customer", "orders", _CUST, _ORD, on=_ON, strategy="merge"), f"SELECT * FROM {_C} c JOIN (SELECT o_custkey, o_orderkey AS orderkey FROM orders) o ON c.custkey = o.o_custkey"),
+    "join_nested_loop": (
+        _pair("customer", "supplier", _CUST, {"s_suppkey": "s_suppkey", "s_balance": "s_acctbal"}, how="left", strategy="nested_loop", condition="balance > 9900 AND s_balance > balance"),
+        f"SELECT * FROM {_C} c LEFT JOIN (SELECT s_suppkey, s_acctbal AS s_balance FROM supplier) s ON balance > 9900 AND s_balance > balance",
+    ),
+    "join_cartesian": (
+        _pair("nation", "region", {"nation": "n_name"}, {"region": "r_name"}, how="cross", strategy="cartesian"),
+        "SELECT n_name AS nation, r_name AS region FROM nation, region",
+    ),
+}
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of rows, nulls and distinct keys, for the tables that queries join."""
+    parts = []
+    for name, key in (("customer", "c_nationkey"), ("orders", "o_custkey"), ("lineitem", "l_suppkey")):
+        df = _table(spark, sf_dir, name)
+        parts.append(df.agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.count_if(F.col(key).isNull()).alias("n_nulls")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the planner knows of each table: rows, bytes and approximate distinct values of its columns."""
+    rows = []
+    for name in _TABLES[:-1]:
+        s = collect_stats(_table(spark, sf_dir, name))
+        rows.extend((name, c, s.rows, s.size_bytes, d) for c, d in s.distinct.items())
+    return spark.createDataFrame(rows, "relation string, column string, n_rows long, size_bytes long, n_distinct long")
+
+
+def _sampled_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the chain as the sample estimator sees them."""
+    from manyfold.plans.cost import SampleEstimator
+
+    q = JOINS["chain"]
+    query = MultiJoin.build({a: _source(spark, sf_dir, t) for a, t in q.relations.items()}, q.predicates)
+    stats = {a: collect_stats(df, 0.5) for a, df in query.relations.items()}
+    estimate = SampleEstimator().join_rows(query, query.graph(), stats, list(query.relations))
+    return spark.createDataFrame([("chain", float(estimate))], "query string, estimate double")
+
+
+def _view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four-cycle as SQL text over registered tables, in mixed mode."""
+    engine = Engine(spark, Planner(mode="mixed", cells=max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    for t in ("lineitem", "orders", "customer", "supplier"):
+        engine.register(t, _table(spark, sf_dir, t))
+    return engine.sql(JOINS["cycle4"].sql())
+
+
+def _left_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycle with tails as a chain that starts from a tail, with join hints."""
+    q = JOINS["cycle_tails"]
+    query = MultiJoin.build({a: _source(spark, sf_dir, t) for a, t in q.relations.items()}, q.predicates, [(e, n) for n, e in q.output.items()])
+    return left_deep(query, start=BreadthFirst().order(query, query.graph(), {})[0], hints={"n": "broadcast", "r": "broadcast"})
+
+
+def _build() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    queries, oracles = {}, {}
+    for name, q in JOINS.items():
+        forms = {name: q.run("default"), f"{name}_one_round": q.run("one-round"), f"{name}_mixed": q.run("mixed")}
+        if name in ("cycle4", "triangle", "clique4", "cycle_tails"):
+            forms[f"{name}_core"] = q.run("core", bias=1e-6)
+            forms[f"{name}_leapfrog"] = q.run("one-round", local="leapfrog")
+        for form, run in forms.items():
+            queries[form], oracles[form] = run, q.sql()
+    for name, (run, sql) in PAIRS.items():
+        queries[name], oracles[name] = run, sql
+    queries["cycle4_sql"], oracles["cycle4_sql"] = _view_sql, JOINS["cycle4"].sql()
+    queries["left_deep_hints"], oracles["left_deep_hints"] = _left_deep, JOINS["cycle_tails"].sql()
+    queries["key_counts"] = _counts
+    oracles["key_counts"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS relation, count(*) AS n_rows, count(DISTINCT {k}) AS n_keys, count(*) - count({k}) AS n_nulls FROM {t}"
+        for t, k in (("customer", "c_nationkey"), ("orders", "o_custkey"), ("lineitem", "l_suppkey"))
+    )
+    queries["column_statistics"] = _statistics
+    queries["sampled_join_estimate"] = _sampled_estimate
+    return queries, oracles
+
+
+QUERIES, ORACLES = _build()
