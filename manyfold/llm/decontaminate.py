@@ -44,7 +44,7 @@ def _runs(column):
 
 
 def edits_allowed(length: int, share: float = EDITS) -> int:
-    return max(1, int(share * length)) if length > 1 else 0
+    return int(share * length)
 
 
 def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, repetition: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = EDITS) -> DataFrame:
     """(_id, item_id, edits, first_word, n_words): a row for each document and benchmark item that it holds.
 
-    A document holds an item if some stretch of its words is within max(1, share * words of the item) edits of it;
+    A document holds an item if some stretch of its words is within floor(share * words of the item) edits of it;
     edits and place are those of the nearest stretch found. Items of one word or none are never reported; of items
     with equal texts each is. The recall of the candidate search is set by REPETITIONS and SAMPLED, and what is found
     is verified exactly. The documents are read once per block of ITEMS items; no shuffle.
