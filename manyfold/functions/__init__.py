@@ -1,0 +1 @@
+"""No scalar functions of its own: expressions are Spark SQL."""

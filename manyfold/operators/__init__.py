@@ -1,0 +1 @@
+"""Two-way and one-round joins."""

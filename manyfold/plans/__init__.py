@@ -1,0 +1 @@
+"""Query graphs, statistics, shares, costs and plans."""

@@ -1,0 +1 @@
+"""Named tables and their files."""

@@ -1,0 +1 @@
+"""Joins are batch queries; a stream is joined by registering its foreachBatch frames."""
