@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Freed buffers go back to the system at once; workers live long and hold what other pools keep.
+pa.set_memory_pool(pa.system_memory_pool())
+
 NULL_ID = -(2**63)
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,8 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _text) without nulls."""
+    """(_id, _text) without nulls.
+
+    Whole texts make wide rows: unless the session says otherwise, Arrow batches are set to 2,048 rows of them.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, "2048")
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
@@ -76,7 +88,8 @@ def partitions(spark: SparkSession) -> int:
 # --- vectorised words --------------------------------------------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
+_ROWS = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,7 +138,8 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def text_chunks(column: pa.Array, limit: int = _CHUNK):
-    """(first row, bytes, offsets) of runs of whole texts, of about limit bytes; a longer text is a run of its own."""
+    """(first row, bytes, offsets) of runs of whole texts, of about limit bytes and a bounded number; a longer text is
+    a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
@@ -140,7 +154,7 @@ def text_chunks(column: pa.Array, limit: int = _CHUNK):
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
-        last = min(last, n)
+        last = min(last, n, first + _ROWS)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 

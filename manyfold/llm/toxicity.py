@@ -194,11 +194,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_
         for batch in batches:
             label = np.asarray(batch.column(1))
             for row, n, texts, values in features(batch.column(0)):
-                counts = _counts(texts, values, candidates, n)
-                for k in (0, 1):
-                    own = counts[label[row : row + n] == k]
-                    for i, times in enumerate(TIMES):
-                        total[i, k] += (own >= times).sum(0)
+                at = np.minimum(np.searchsorted(candidates, values), max(len(candidates) - 1, 0))
+                hit = candidates[at] == values if len(candidates) else np.zeros(len(values), bool)
+                pairs, times = np.unique(texts[hit] * max(len(candidates), 1) + at[hit], return_counts=True)
+                side, which = label[row + pairs // max(len(candidates), 1)], pairs % max(len(candidates), 1)
+                for i, least_times in enumerate(TIMES):
+                    enough = times >= least_times
+                    np.add.at(total[i], (side[enough], which[enough]), 1)
         i, at = np.nonzero(total.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array((i * len(candidates) + at).astype(np.int32)), pa.array(total[i, 0, at]), pa.array(total[i, 1, at])], names=["at", "clean", "toxic"])
 
