@@ -18,7 +18,7 @@ HEADLINE = (
     "chain", "star", "cycle4", "cycle4_mixed", "cycle4_one_round", "cycle4_leapfrog", "triangle", "triangle_mixed", "triangle_one_round",
     "cycle_tails", "cycle_tails_mixed", "clique4", "clique4_mixed", "clique4_leapfrog", "residual", "composite", "self_join", "join_full", "join_semi", "join_null_safe",
 )
-RUNS = 3
+RUNS = 2
 
 
 def main() -> None:
