@@ -93,9 +93,10 @@ class Planner:
             self.decisions.append("multi-round: all")
             return left_deep(query)
         stats = dict(stats or {})
-        for r, df in query.relations.items():
+        for r in query.relations:
             if r not in stats or query.local.get(r):
-                stats[r] = collect_stats(query.prepared(r) if query.local.get(r) else df)
+                keys = [ref(m).alias(m[1]) for c in graph.classes for m in c if m[0] == r]
+                stats[r] = collect_stats(query.prepared(r).select(*(keys or [F.lit(1).alias("one")])))  # reads the keys only
         if self.mode == "one-round":
             return query_round(self, query, graph, stats)
         if self.mode == "core":
