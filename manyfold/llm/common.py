@@ -20,9 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Freed buffers go back to the system at once; workers live long and hold what other pools keep.
-pa.set_memory_pool(pa.system_memory_pool())
-
 NULL_ID = -(2**63)
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
