@@ -59,6 +59,22 @@ def parse_expression(spark: SparkSession, text: str):
     return spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
 
 
+class NotPlain(ValueError):
+    """An expression whose SQL text would not parse back to itself."""
+
+
+def plain_text(spark: SparkSession, expression, given: str | None = None) -> str:
+    """The expression's SQL text, or the given text, if it means the same."""
+    for text in (expression.sql(), given):
+        try:
+            if text is not None and parse_expression(spark, text).equals(expression):
+                return text
+        except Exception as e:  # the parser's own exceptions come through the gateway
+            if "Parse" not in str(e):
+                raise
+    raise NotPlain(f"can't be written as plain SQL by itself: {expression.sql()}")
+
+
 @dataclass
 class MultiJoin:
     """relations: name -> DataFrame, in query order. equalities: pairs of columns of different relations.
@@ -82,7 +98,7 @@ class MultiJoin:
         spark = next(iter(query.relations.values())).sparkSession
         for text in predicates:
             for conjunct in _conjuncts(parse_expression(spark, text)):
-                query._classify(conjunct)
+                query._classify(conjunct, text)
         return query
 
     def resolve(self, parts: Sequence[str]) -> Column:
@@ -101,10 +117,10 @@ class MultiJoin:
     def type_of(self, column: Column) -> T.DataType:
         return self.relations[column[0]].schema[column[1]].dataType
 
-    def _classify(self, conjunct) -> None:
+    def _classify(self, conjunct, given: str | None = None) -> None:
         columns = {self.resolve(n) for n in _names(conjunct)}
         touched = {c[0] for c in columns}
-        text = conjunct.sql()
+        text = plain_text(next(iter(self.relations.values())).sparkSession, conjunct, given)
         if len(touched) == 1:
             self.local.setdefault(touched.pop(), []).append(text)
             return

@@ -47,7 +47,9 @@ def rows(df):
 @pytest.mark.parametrize("mode,more", PLANS)
 def test_fixture_queries(spark, engine, name, mode, more):
     text, n, width = QUERIES[name]
-    got = engine.with_mode(mode, **more).sql(text)
+    own = engine.with_mode(mode, **more)
+    got = own.sql(text)
+    assert bool(own.planner.decisions) == (mode != "default")
     assert (got.count(), len(got.columns)) == (n, width)
     assert rows(got) == rows(spark.sql(text))
 
@@ -61,6 +63,11 @@ def test_fixture_queries(spark, engine, name, mode, more):
         "SELECT a.x, b.y FROM a, b, g WHERE a.x = b.x AND g.s > 4",
         "SELECT a.x FROM a, b, c WHERE a.x = b.x AND b.y = c.y AND (a.z = 1 OR c.z = a.z)",
         "SELECT a.x, al.x AS y FROM a, al, c WHERE a.x = a.z AND a.z = al.x AND c.y = a.x",
+        "SELECT count(*) AS n FROM a, b, c WHERE a.x = b.x AND b.y = c.y AND c.z = a.z",
+        "SELECT a.x, sum(c.y + b.y) AS s, count(DISTINCT c.z), max(a.z) AS m FROM a, b, c WHERE a.x = b.x AND b.y = c.y AND a.z <= c.z GROUP BY a.x",
+        "SELECT t.x, t.n, c.z FROM (SELECT x, count(*) AS n FROM b WHERE y < 3 GROUP BY x) t, a, c WHERE t.x = a.x AND a.z = c.z",
+        "SELECT a.x + 1 AS k, count(*) AS n FROM a JOIN b ON a.x = b.x JOIN c ON c.y = b.y GROUP BY a.x + 1",
+        "SELECT x, count(*) AS n FROM al, b b2, c WHERE al.x = b2.x AND b2.y = c.y GROUP BY al.x ORDER BY n".replace("SELECT x", "SELECT al.x"),
     ],
 )
 def test_other_shapes(spark, engine, mode, more, text):
@@ -69,7 +76,7 @@ def test_other_shapes(spark, engine, mode, more, text):
 
 def test_sql_that_is_sparks_own(spark, engine):
     mixed = engine.with_mode("mixed")
-    for text in ("SELECT count(*) AS n FROM a, b, c WHERE a.x = b.x AND b.y = c.y", "SELECT a.x FROM a LEFT JOIN b ON a.x = b.x", "SELECT x, count(*) AS n FROM a GROUP BY x ORDER BY x", "SELECT a.x FROM a, b, c WHERE a.x IN (SELECT x FROM al) AND a.x = b.x AND b.y = c.y"):
+    for text in ("SELECT a.x, count(*) OVER () AS n FROM a, b, c WHERE a.x = b.x AND b.y = c.y", "SELECT a.x FROM a LEFT JOIN b ON a.x = b.x", "SELECT x, count(*) AS n FROM a GROUP BY x ORDER BY x", "SELECT a.x FROM a, b, c WHERE a.x IN (SELECT x FROM al) AND a.x = b.x AND b.y = c.y"):
         assert rows(mixed.sql(text)) == rows(spark.sql(text))
 
 
