@@ -77,6 +77,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids (some 40 bytes each once hashed) that are broadcast, at most.
+BROADCAST_IDS = 1_000_000
+
+
+def ids_side(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids as the side of a join with texts: broadcast if it is counted to be small, so that the
+    texts stay in place; otherwise left to a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def partitions(spark: SparkSession) -> int:
     """Buckets and blocks follow the session's shuffle partitions, which are set from the size of the data."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

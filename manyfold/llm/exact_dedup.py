@@ -11,49 +11,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.common import given_id, keyed, written
+from manyfold.llm.common import NULL_ID, given_id, ids_side, keyed, written
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, broadcast_words: int = 2_000_000) -> DataFrame:
+BITS_PER_ROW = 16
+#: Words of the filter that are broadcast, at most (16 bytes each, 32 MB).
+BROADCAST_WORDS = 2_000_000
+
+
+class _Filter:
+    """Pass one: the slots of a Bloom filter that were set more than once, as a table (word, bits)."""
+
+    def __init__(self, rows: DataFrame, bits_per_row: int, broadcast_words: int):
+        self.bits = max(10, (bits_per_row * max(1, rows.count()) - 1).bit_length())
+        repeated = rows.select(F.explode(F.array(*self._slots())).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        words = repeated.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+        self.words = written(words, "bloom-words")
+        self.small = self.words.count() <= broadcast_words
+        if self.small:
+            self.words = F.broadcast(self.words)
+
+    def _slots(self) -> list:
+        mask = F.lit((1 << self.bits) - 1)
+        row_hash = F.xxhash64("_text")
+        return [row_hash.bitwiseAND(mask), F.xxhash64(row_hash).bitwiseAND(mask)]
+
+    def marked(self, rows: DataFrame, *keep) -> DataFrame:
+        """Pass two: keep, and _maybe for rows whose slots were both set more than once. rows has _text."""
+        rows = rows.select(*keep, *(s.alias(f"_s{k}") for k, s in enumerate(self._slots())))
+        names = [c for c in rows.columns if c not in ("_s0", "_s1")]
+        for k in (0, 1):
+            words = self.words.select(F.col("word").alias(f"_w{k}"), F.col("bits").alias(f"_b{k}"))
+            rows = rows.join(words, F.shiftright(f"_s{k}", 6) == F.col(f"_w{k}"), "left")
+        is_set = [F.expr(f"coalesce(shiftright(_b{k}, cast(_s{k} & 63 as int)) & 1, 0) = 1") for k in (0, 1)]
+        return rows.select(*names, (is_set[0] & is_set[1]).alias("_maybe"))
+
+
+def _verdict(rows: DataFrame, seen: _Filter) -> DataFrame:
+    """(_id, _sha, _keep, _n) of each row: who stays of its text, and how many have it."""
+    marked = written(seen.marked(rows, "_id", F.unhex(F.sha2("_text", 256)).alias("_sha")), "bloom-marked")
+    maybe = marked.filter("_maybe").select("_id", "_sha")
+    groups = maybe.groupBy(F.col("_sha").alias("_g")).agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    grouped = maybe.join(written(groups, "equal-texts"), F.col("_sha") == F.col("_g"), "left").select(
+        "_id", "_sha", F.coalesce("_keep", "_id").alias("_keep"), F.coalesce("_n", F.lit(1).cast("long")).alias("_n")
+    )
+    single = marked.filter("not _maybe").select("_id", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"))
+    return single.unionByName(grouped)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per input row: _id, keep_id, group_size, kept, text_sha256.
 
     Equal texts (null is empty) form a group; its row with the largest id stays. Rows that share both text and
     largest id (the same row given twice) count in group_size and are all marked kept, as no id tells them apart.
-    The filter's words are broadcast only if there are at most broadcast_words of them (16 bytes each, 32 MB);
-    beyond that they are joined by a shuffle of row hashes.
+    The filter's words are broadcast only if there are at most broadcast_words of them; beyond that they are joined
+    by a shuffle of row hashes.
     """
     rows = keyed(docs, id_col, text_col)
-    bits = max(10, (bits_per_row * max(1, docs.count()) - 1).bit_length())
-    mask = F.lit((1 << bits) - 1)
-    row_hash = F.xxhash64("_text")
-    slots = [row_hash.bitwiseAND(mask), F.xxhash64(row_hash).bitwiseAND(mask)]
-    repeated = (
-        rows.select(F.explode(F.array(*slots)).alias("slot"))
-        .groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-    )
-    words = written(
-        repeated.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")),
-        "bloom-words",
-    )
-    if words.count() <= broadcast_words:
-        words = F.broadcast(words)
-    rows = rows.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), *(s.alias(f"_s{k}") for k, s in enumerate(slots)))
-    for k in (0, 1):
-        rows = rows.join(words.select(F.col("word").alias(f"_w{k}"), F.col("bits").alias(f"_b{k}")), F.shiftright(f"_s{k}", 6) == F.col(f"_w{k}"), "left")
-    is_set = [F.expr(f"coalesce(shiftright(_b{k}, cast(_s{k} & 63 as int)) & 1, 0) = 1") for k in (0, 1)]
-    marked = written(rows.select("_id", "_sha", (is_set[0] & is_set[1]).alias("_maybe")), "bloom-marked")
-    maybe = marked.filter("_maybe").select("_id", "_sha")
-    groups = written(
-        maybe.groupBy(F.col("_sha").alias("_g")).agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"),
-        "equal-texts",
-    )
-    grouped = maybe.join(groups, F.col("_sha") == F.col("_g"), "left").select(
-        "_id", "_sha", F.coalesce("_keep", "_id").alias("_keep"), F.coalesce("_n", F.lit(1).cast("long")).alias("_n")
-    )
-    single = marked.filter("not _maybe").select("_id", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"))
-    return single.unionByName(grouped).select(
+    return _verdict(rows, _Filter(rows, bits_per_row, broadcast_words)).select(
         "_id",
         given_id("_keep").alias("keep_id"),
         F.col("_n").alias("group_size"),
@@ -62,16 +77,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a row with a larger id has, columns unchanged.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """docs without the rows whose text a row with a larger id has, columns unchanged; a row given twice stays twice.
 
-    Dropped ids leave by an anti-join on (id, text hash); a row given twice stays twice.
+    Rows that the filter clears stay where they are; only possibly repeated ones meet the list of (id, text hash)
+    that go. With a filter too large to broadcast, all rows meet that list.
     """
-    verdict = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
-    alias = docs.alias("_docs")
-    row_id = F.coalesce(F.col(f"_docs.{id_col}").cast("long"), F.lit(-(2**63)))
-    sha = F.sha2(F.coalesce(F.col(f"_docs.{text_col}"), F.lit("")), 256)
-    return alias.join(verdict.alias("_out"), (row_id == F.col("_out._gone")) & (sha == F.col("_out._gone_sha")), "left_anti")
+    rows = keyed(docs, id_col, text_col)
+    seen = _Filter(rows, bits_per_row, broadcast_words)
+    gone = ids_side(written(_verdict(rows, seen).filter("_id != _keep").select(F.col("_id").alias("_gone"), F.col("_sha").alias("_gone_sha")).distinct(), "copies"), 300_000)  # with their hashes, some 120 bytes each
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"),
+    )
+    kept = []
+    if seen.small:
+        marked = seen.marked(whole, "_row", "_id", "_text")
+        kept.append(marked.filter("not _maybe").select("_row.*"))
+        whole = marked.filter("_maybe")
+    sha = F.unhex(F.sha2("_text", 256))
+    kept.append(whole.join(gone, (F.col("_id") == F.col("_gone")) & (sha == F.col("_gone_sha")), "left_anti").select("_row.*"))
+    return kept[0].unionAll(kept[1]) if len(kept) > 1 else kept[0]
 
 
 ORACLE = """

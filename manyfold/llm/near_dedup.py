@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.common import NULL_ID, given_id, keyed, mix, pack, partitions, text_chunks, unpack, window_hashes, word_hashes, word_spans, written
+from manyfold.llm.common import NULL_ID, given_id, ids_side, keyed, mix, pack, partitions, text_chunks, unpack, window_hashes, word_hashes, word_spans, written
 from manyfold.llm.components import components
 
 TOKENS = 48
@@ -282,7 +282,7 @@ class _Join:
         return rows.select(F.explode(F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(2)) == 0, F.array(*both)).otherwise(F.array(both[0]))).alias("node"), "rep")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        return written(self.docs.join(ids, "_id", "left_semi").mapInArrow(_full_sets(self.shingle), "id long, hashes binary"), "full-sets")
+        return written(self.docs.join(ids_side(ids), "_id", "left_semi").mapInArrow(_full_sets(self.shingle), "id long, hashes binary"), "full-sets")
 
     def verified(self, edges: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
@@ -391,6 +391,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: int = 80, id
     """
     verdict = written(near_dedup(docs, shingle, similarity, id_col, text_col), "near-copies")
     gone = verdict.groupBy("_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("_id").alias("_gone"))
+    gone = ids_side(written(gone, "gone"))
     row_id = F.coalesce(F.col(f"_docs.{id_col}").cast("long"), F.lit(NULL_ID))
     return docs.alias("_docs").join(gone.alias("_out"), row_id == F.col("_out._gone"), "left_anti")
 
