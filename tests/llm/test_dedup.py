@@ -32,7 +32,7 @@ def test_exact_against_brute_force(spark, limit):
         count[t or ""] += 1
     got = {r._id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(docs(spark, rows), broadcast_words=limit).collect()}
     assert got == {i: (last[t or ""], count[t or ""], last[t or ""] == i, digest(t)) for i, t in rows}
-    assert sorted(r.doc_id for r in drop_copies(docs(spark, rows)).collect()) == sorted(set(last.values()))
+    assert sorted(r.doc_id for r in drop_copies(docs(spark, rows), broadcast_words=limit).collect()) == sorted(set(last.values()))
 
 
 def test_exact_texts_do_not_shuffle_and_no_python(spark):
