@@ -92,7 +92,8 @@ def _replies(rows: list[tuple[int, bytes]]) -> pa.Table:
 def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str):
     """(source by block, replies): replies hold the places of windows that also start earlier."""
     spark = docs.sparkSession
-    blocks = partitions(spark)
+    buckets = partitions(spark)
+    blocks = 4 * buckets  # several to a partition, which evens partitions out; a block is in memory at a time
     period, residues = cover_of(window)
     length = window - period + 1
     in_cover = np.zeros(period, bool)
@@ -113,11 +114,11 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str):
             found.append((hashes[at] >> np.uint64(16) << np.uint64(16), block.ids[rows], block.sub[rows] + place[at]))
         keys, ids, places = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(keys, kind="stable")
-        return _messages(int(table.column("block")[0].as_py()), blocks, [keys[order] >> np.uint64(16) << np.uint64(16)], ids[order], places[order], False)
+        return _messages(int(table.column("block")[0].as_py()), buckets, [keys[order] >> np.uint64(16) << np.uint64(16)], ids[order], places[order], False)
 
     def meet_anchors(table: pa.Table) -> pa.Table:
         bucket, sources, payloads = table.column("bucket")[0].as_py(), table.column("src").to_pylist(), table.column("payload").to_pylist()
-        if bucket >= blocks:
+        if bucket >= buckets:
             return _replies(list(zip(sources, payloads, strict=True)))
         parts = [unpack(p, np.uint64, np.int64, np.int64) for p in payloads]
         hashes = np.sort(np.concatenate([p[0] for p in parts]))
@@ -158,11 +159,11 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str):
             return _MESSAGE.empty_table()
         one, two, ids, places = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((two, one))
-        return _messages(key[0].as_py(), blocks, [one[order], two[order]], ids[order], places[order], True)
+        return _messages(key[0].as_py(), buckets, [one[order], two[order]], ids[order], places[order], True)
 
     def meet_windows(table: pa.Table) -> pa.Table:
         bucket, sources, payloads = table.column("bucket")[0].as_py(), table.column("src").to_pylist(), table.column("payload").to_pylist()
-        if bucket >= blocks:
+        if bucket >= buckets:
             return _replies(list(zip(sources, payloads, strict=True)))
         parts = [unpack(p, np.uint64, np.uint64, np.int64, np.int64) for p in payloads]
         src = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
