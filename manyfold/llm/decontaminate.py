@@ -5,7 +5,8 @@ pairs; places with fewer benchmark pairs than that can't match and aren't embedd
 other place a window starts, sized by a class of item lengths. The CGK embedding walks the window, staying at or
 leaving each symbol by a random bit that depends on step and symbol, so windows at a small edit distance agree at most
 steps. Each of several repetitions samples a few steps; windows and items that agree there are candidates, whose edit
-distance is then computed exactly.
+distance is then computed exactly. Items of more than PIECE words are searched by pieces: one piece at least has no more
+than its own share of the edits, so recall doesn't fall with an item's length. The whole item is verified.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ REPETITIONS = 24
 SAMPLED = 3
 #: Share of an item's words that may be edited.
 EDITS = 0.2
+#: Words of a piece of an item, at most; longer items are searched by pieces of nearly equal length.
+PIECE = 30
 #: Items embedded and sent to the executors at a time.
 ITEMS = 4096
 _PAIR_BITS = 20
@@ -71,7 +74,7 @@ def nearest(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 
 
 class Benchmark:
-    """The items of one block, their word pairs and the keys of their embeddings."""
+    """The items of one block, their word pairs, their pieces and the keys of the pieces' embeddings."""
 
     def __init__(self, ids: list[int], texts: list[str], share: float = EDITS):
         items = [(i, w) for i, w in zip(ids, words_of(pa.array([t or "" for t in texts], pa.string())), strict=True) if len(w) >= 2]
@@ -80,8 +83,12 @@ class Benchmark:
         self.pairs = np.zeros(1 << _PAIR_BITS, bool)
         for w in self.words:
             self.pairs[window_hashes(w, 2) >> np.uint64(64 - _PAIR_BITS)] = True
+        self.pieces: list[tuple[int, int, np.ndarray]] = []  # item, first word in it, words
+        for k, w in enumerate(self.words):
+            cuts = [len(w) * c // -(-len(w) // PIECE) for c in range(-(-len(w) // PIECE) + 1)]
+            self.pieces.extend((k, a, w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
         self.classes: list[dict] = []
-        lengths = sorted({len(w) for w in self.words})
+        lengths = sorted({len(w) for _, _, w in self.pieces})
         while lengths:
             low = lengths[0]
             inside = [n for n in lengths if n <= low * 1.15]
@@ -89,13 +96,13 @@ class Benchmark:
             self.classes.append(self._length_class(low, inside[-1], share))
 
     def _length_class(self, low: int, high: int, share: float) -> dict:
-        members = [k for k, w in enumerate(self.words) if low <= len(w) <= high]
+        members = [k for k, (_, _, w) in enumerate(self.pieces) if low <= len(w) <= high]
         steps = 2 * low
         rng = np.random.default_rng(low)
         samples = [np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)) for _ in range(REPETITIONS)]
-        flat = np.concatenate([self.words[k] for k in members])
-        ends = np.cumsum([len(self.words[k]) for k in members])
-        starts = ends - [len(self.words[k]) for k in members]
+        flat = np.concatenate([self.pieces[k][2] for k in members])
+        ends = np.cumsum([len(self.pieces[k][2]) for k in members])
+        starts = ends - [len(self.pieces[k][2]) for k in members]
         keys = []
         for r, sample in enumerate(samples):
             key = self._key(embed(flat, starts, ends, int(sample[-1]) + 1, r)[sample])
@@ -125,7 +132,8 @@ class Benchmark:
                 for k in np.flatnonzero(hi > lo).tolist():
                     start = int(starts[own[k]])
                     for m in members[lo[k] : hi[k]].tolist():
-                        near.setdefault((int(text[start]), m), []).append(start)
+                        item, offset, _ = self.pieces[m]
+                        near.setdefault((int(text[start]), item), []).append(start - offset)
 
     def find(self, column) -> list[tuple[int, int, int, int, int]]:
         """(row, item id, edits, first word, words) of the texts' nearest stretch to each item they hold."""
@@ -188,8 +196,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     A document holds an item if some stretch of its words is within floor(share * words of the item) edits of it;
     edits and place are those of the nearest stretch found. Items of one word or none are never reported; of items
-    with equal texts each is. The recall of the candidate search is set by REPETITIONS and SAMPLED, and what is found
-    is verified exactly. The documents are read once per block of ITEMS items; no shuffle.
+    with equal texts each is. The recall of the candidate search is set by REPETITIONS, SAMPLED and PIECE, and what is
+    found is verified exactly. The documents are read once per block of ITEMS items; no shuffle.
     """
     rows = keyed(docs, id_col, text_col)
     parts = []

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from manyfold.llm.bpe import PrefixEncoder, bpe_encode, merge_ranks, read_ranks
-from manyfold.llm.decontaminate import drop_leaks, edits_allowed, find_leaks, nearest, words_of
+from manyfold.llm.decontaminate import Benchmark, drop_leaks, edits_allowed, find_leaks, nearest, words_of
 from manyfold.llm.secrets import ACCESS, ASSIGN, HEX, KINDS, crc_digits, find_secrets, secret_scan
 from manyfold.llm.sharding import SlotMap, shard, shard_documents
 
@@ -200,6 +200,24 @@ def test_leaks_against_brute_force(spark, share, least):
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+@pytest.mark.parametrize("length", [60, 100, 240])
+def test_recall_does_not_fall_with_length(length):
+    rng = random.Random(length)
+    vocabulary = [f"w{k}" for k in range(1000)]
+    items = [[rng.choice(vocabulary) for _ in range(length)] for _ in range(40)]
+    texts = []
+    for item in items:
+        words = list(item)
+        for p in sorted(rng.sample(range(length), edits_allowed(length)), reverse=True):
+            words[p : p + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
+        around = [[rng.choice(vocabulary) for _ in range(rng.randrange(40))] for _ in range(2)]
+        texts.append(" ".join([*around[0], *words, *around[1]]))
+    hashes = words_of(pa.array([" ".join(i) for i in items])), words_of(pa.array(texts))
+    want = {k for k, (a, b) in enumerate(zip(*hashes, strict=True)) if brute_distance(a.tolist(), b.tolist()) <= edits_allowed(length)}
+    got = {row for row, item, *_ in Benchmark(list(range(40)), [" ".join(i) for i in items]).find(pa.array(texts)) if item == row}
+    assert len(want) == 40 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_leaks_awkward(spark):
     bench = spark.createDataFrame([(1, "same words here in a row"), (2, None), (None, "x y z"), (3, ""), (4, "one"), (5, "Same, WORDS here in a row!")], "item_id long, text string")
     d = awkward(spark)
