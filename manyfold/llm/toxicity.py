@@ -24,8 +24,8 @@ from manyfold.llm.statistics import NAMES, document_statistics
 #: Labelled rows that the fit uses at most, and voters of the lexicon at most; they bound what the driver holds.
 MAX_LABELLED = 60_000
 MAX_VOTERS = 256
-#: Candidate features that are counted on both sides, by support among toxic documents.
-MAX_CANDIDATES = 8192
+#: Toxic documents of the sample that hold a feature, at least, whatever the sample's size.
+SUPPORT = 3
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: A voter wants its feature so many times in a text.
 TIMES = (1, 2, 4)
@@ -172,48 +172,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_
     if not toxic_docs + clean_docs:
         return None
 
-    def support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, texts, values in features(batch.column(0)):
-                order = np.lexsort((values, texts))
-                t, v = texts[order], values[order]
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
-                v, n = np.unique(v[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
-
-    least = max(3, toxic_docs // 200)
-    found = (
-        chosen.filter("_label = 1").mapInArrow(support, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()
-    )
-    candidates = np.sort(np.array([r.feature for r in found], np.int64).view(np.uint64))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(TIMES), 2, len(candidates)), np.int64)
         for batch in batches:
-            label = np.asarray(batch.column(1))
-            for row, n, texts, values in features(batch.column(0)):
-                at = np.minimum(np.searchsorted(candidates, values), max(len(candidates) - 1, 0))
-                hit = candidates[at] == values if len(candidates) else np.zeros(len(values), bool)
-                pairs, times = np.unique(texts[hit] * max(len(candidates), 1) + at[hit], return_counts=True)
-                side, which = label[row + pairs // max(len(candidates), 1)], pairs % max(len(candidates), 1)
-                for i, least_times in enumerate(TIMES):
-                    enough = times >= least_times
-                    np.add.at(total[i], (side[enough], which[enough]), 1)
-        i, at = np.nonzero(total.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array((i * len(candidates) + at).astype(np.int32)), pa.array(total[i, 0, at]), pa.array(total[i, 1, at])], names=["at", "clean", "toxic"])
-
-    clean, toxic = np.zeros((2, len(TIMES) * len(candidates)))
-    for r in chosen.mapInArrow(count, "at int, clean long, toxic long").groupBy("at").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).collect():
-        clean[r["at"]], toxic[r["at"]] = r.c, r.t
-    surprise = _surprise(toxic, clean, toxic_docs, clean_docs).reshape(len(TIMES), -1)
-    times = surprise.argmax(0) if len(candidates) else np.zeros(0, int)  # of each feature, its most telling number
-    surprise = surprise[times, np.arange(len(candidates))]
-    best = np.argsort(-surprise, kind="stable")[:MAX_VOTERS]
-    best = np.sort(best[surprise[best] > -np.log(SIGNIFICANCE)])
-    purity = (clean.reshape(len(TIMES), -1) / np.maximum(toxic.reshape(len(TIMES), -1), 1))[times, np.arange(len(candidates))][best]
-    model = ToxicityModel(candidates[best], np.arange(len(best)), np.array(TIMES)[times[best]], np.zeros(len(_PATTERNS)), np.zeros(0))
+            label = np.asarray(batch.column(1)) == 1
+            for row, _, texts, values in features(batch.column(0)):
+                found, which = np.unique(values, return_inverse=True)
+                pairs, times = np.unique(texts * len(found) + which, return_counts=True)
+                text, which = pairs // max(len(found), 1), pairs % max(len(found), 1)
+                toxic = label[row + text]
+                sums = [np.bincount(which[side & (times >= t)], minlength=len(found)) for side in (~toxic, toxic) for t in TIMES]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in sums)], names=["feature", *counts])
+
+    counts = [f"{side}{t}" for side in ("clean", "toxic") for t in TIMES]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean, toxic = np.array([np.asarray(batch.column(c)) for c in counts], float).reshape(2, len(TIMES), -1)
+            surprise = _surprise(toxic, clean, toxic_docs, clean_docs)
+            best = surprise.argmax(0)  # of each feature, its most telling number
+            at = np.arange(batch.num_rows)
+            impure = clean[best, at] / np.maximum(toxic[best, at], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.array(np.array(TIMES)[best]), pa.array(surprise[best, at]), pa.array(impure)], names=["feature", "least", "surprise", "impure"])
+
+    # Every feature is counted on both sides where the texts are; only those that tell something come to the driver.
+    counted = chosen.mapInArrow(count, "feature long, " + ", ".join(f"{c} long" for c in counts)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in counts)).filter(F.col(f"toxic{TIMES[0]}") >= SUPPORT)
+    telling = counted.mapInArrow(weigh, "feature long, least long, surprise double, impure double").filter(F.col("surprise") > float(-np.log(SIGNIFICANCE)))
+    best = telling.orderBy(F.desc("surprise"), "feature").limit(MAX_VOTERS).collect()
+    best.sort(key=lambda r: r.feature % (1 << 64))
+    surprise, purity = np.array([r.surprise for r in best]), np.array([r.impure for r in best])
+    model = ToxicityModel(np.array([r.feature for r in best], np.int64).view(np.uint64), np.arange(len(best)), np.array([r.least for r in best], int), np.zeros(len(_PATTERNS)), np.zeros(0))
 
     # A pattern votes where its statistic is in the top tenth of the sample.
     at = [NAMES.index(p) for p in _PATTERNS]
@@ -236,7 +223,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_
     width = len(model.feature) + len(_PATTERNS)
     number = [r["count"] for r in kinds]
     votes = np.repeat(np.array([np.unpackbits(np.frombuffer(r.votes, np.uint8))[:width] for r in kinds]).reshape(-1, width), number, axis=0)
-    keep = distinct_voters(votes[:, : len(model.feature)], np.repeat([r.label == 1 for r in kinds], number), np.lexsort((-surprise[best], purity)))
+    keep = distinct_voters(votes[:, : len(model.feature)], np.repeat([r.label == 1 for r in kinds], number), np.lexsort((-surprise, purity)))
     votes = np.column_stack([votes[:, keep], votes[:, len(model.feature) :]])
     model.only(keep)
     prior = toxic_docs / (toxic_docs + clean_docs)

@@ -10,7 +10,7 @@ import pytest
 
 from manyfold.llm.quality import fold_is_not, labelled_sample, pooled, quality_scores
 from manyfold.llm.statistics import NAMES, document_statistics
-from manyfold.llm.toxicity import distinct_voters, drop_toxic, label_model, toxicity_scores, train_logistic
+from manyfold.llm.toxicity import distinct_voters, drop_toxic, fit_toxicity, label_model, toxicity_scores, train_logistic
 
 from .helpers import awkward, docs, empty
 
@@ -85,6 +85,14 @@ def test_toxicity_held_out(spark):
     assert kept == {i for i, s in got.items() if s < 0.3}
 
 
+def test_rare_voters_count_beside_many_common_words(spark):
+    common = " ".join(f"{k:04x}" for k in range(9000))  # in every text, so of more support than the insult
+    rows = [(i, common + (" grobblet" if i < 20 else "")) for i in range(120)]
+    frame = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
+    model = fit_toxicity(docs(spark, rows), frame, lambda c: c.isNotNull())
+    assert model.lexicon_votes(pa.array(["a grobblet here", common])).any(1).tolist() == [True, False]
+
+
 def test_scores_awkward(spark):
     d = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (6, None, None), (77, 1, 1)], "doc_id long, quality int, toxic int")
