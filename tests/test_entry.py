@@ -34,3 +34,8 @@ def test_against_duckdb(spark, name):
     assert sorted(columns) == sorted(got.columns)
     want = sorted(map(repr, cur.fetchall()))
     assert sorted(repr(tuple(r)) for r in got.select(*(f"`{c}`" for c in columns)).collect()) == want
+
+
+@here
+def test_statistics_of_every_table(spark):
+    assert "events" in {r.relation for r in QUERIES["column_statistics"](spark, SMALL).collect()}
