@@ -61,22 +61,50 @@ def ascii_lower(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder (driver and executors are one process there); on a
+    cluster that is an error, as every executor would write to its own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="manyfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders written by this process, in order.
+_tables: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/manyfold/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/manyfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    return len(_tables)
+
+
+def remove_written(spark: SparkSession, since: int, until: int) -> None:
+    """Removes the tables number since to until - 1 of this process; only for those that no unread result needs."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    for path in _tables[since:until]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+
+
 #: Rows of ids (some 40 bytes each once hashed) that are broadcast, at most.
 BROADCAST_IDS = 1_000_000
 
@@ -109,7 +137,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _byte_values(fold_case: bool, seed: int) -> np.ndarray:
     values = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
     if fold_case:
@@ -184,28 +212,50 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False) -> np.ndarray:
-    """64-bit hashes of the words, by sums of byte values times powers."""
+_WORD_BASE = 0xD1342543DE82EF95
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False, seed: int = 20260101) -> np.ndarray:
+    """64-bit hashes of the words, by sums of byte values times powers; words are in order and don't overlap.
+
+    Sums are taken over pieces of a bounded length, so that tables and sums don't grow with the longest text.
+    """
+    out = np.zeros(len(start), np.uint64)
     if not len(start):
-        return np.zeros(0, np.uint64)
-    power, inverse = powers(0xD1342543DE82EF95, len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_byte_values(fold_case, 20260101)[data] * power[:-1], out=sums[1:])
-    h = (sums[end] - sums[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * _MULT)
+        return out
+    values = _byte_values(fold_case, seed)
+    power, inverse = powers(_WORD_BASE, _CHUNK + 1)
+    for at in range(0, len(data), _CHUNK):
+        size = min(_CHUNK, len(data) - at)
+        a, b = np.searchsorted(end, at, "right"), np.searchsorted(start, at + size, "left")
+        if a >= b:
+            continue
+        sums = np.empty(size + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(values[data[at : at + size]] * power[:size], out=sums[1:])
+        first, last = np.maximum(start[a:b] - at, 0), np.minimum(end[a:b] - at, size)
+        part = (sums[last] - sums[first]) * inverse[first]
+        if start[a] < at:  # a word that began in an earlier piece
+            part[:1] *= np.uint64(pow(_WORD_BASE, int(at - start[a]), 1 << 64))
+        out[a:b] += part
+    return mix(out + (end - start).astype(np.uint64) * _MULT)
 
 
 def window_hashes(words: np.ndarray, size: int, base: int = 0xF1357AEA2E62A9C5) -> np.ndarray:
-    """Hashes of all runs of size words (len(words) - size + 1 of them)."""
-    n = len(words)
-    if n < size:
+    """Hashes of all runs of size words (len(words) - size + 1 of them), in pieces of a bounded number of words."""
+    n = len(words) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    power, inverse = powers(base, n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(words * power[:-1], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
+    room = max(_CHUNK, 2 * size)
+    power, inverse = powers(base, room + 1)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, room - size + 1):
+        part = words[at : at + room]
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        out[at : at + len(part) - size + 1] = (sums[size:] - sums[:-size]) * inverse[: len(part) - size + 1]
+    return mix(out)
 
 
 # --- columns of numbers as one binary value -----------------------------------------------------------------------

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from manyfold.llm import exact_dedup as exact_module
 from manyfold.llm import near_dedup as near
 from manyfold.llm.components import components
 from manyfold.llm.exact_dedup import drop_copies, exact_dedup
@@ -22,7 +23,7 @@ def digest(text):
     return hashlib.sha256((text or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])
+@pytest.mark.parametrize("limit", [2_000_000, 100])
 def test_exact_against_brute_force(spark, limit):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a", "b", "A", "a ", "", None, "hot", "hot", "hot", f"own {i}"])) for i in range(300)]
@@ -35,9 +36,27 @@ def test_exact_against_brute_force(spark, limit):
     assert sorted(r.doc_id for r in drop_copies(docs(spark, rows), broadcast_words=limit).collect()) == sorted(set(last.values()))
 
 
-def test_exact_texts_do_not_shuffle_and_no_python(spark):
-    plan = exact_dedup(docs(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 100])
+def test_exact_only_filter_words_and_possibly_repeated_rows_shuffle(spark, limit, monkeypatch):
+    plans = defaultdict(list)
+    real = exact_module.written
+    monkeypatch.setattr(exact_module, "written", lambda df, name, **how: (plans[name].append(exchanges(df)), real(df, name, **how))[1])
+    rows = [(i, f"text {i}") for i in range(300)] + [(1000 + i, "hot") for i in range(150)]
+    result = exact_dedup(docs(spark, rows), broadcast_words=limit)
+    assert [len(p) for p in plans["bloom-words"]] == [1] and "hashpartitioning(_range" in plans["bloom-words"][0][0]  # words, summed up before
+    assert not any(plans["row-hashes"]) and not any(plans["bloom-marked"]) and len(plans["bloom-marked"]) == (1 if limit > 1000 else 3)
+    assert not exchanges(result)  # the few groups are broadcast
+    seen = exact_module._Filter(exact_module.keyed(docs(spark, rows)), 32, limit)
+    marked = {r._id: r._maybe for r in seen.marked(exact_module.keyed(docs(spark, rows))).collect()}
+    assert len(marked) == 450 and all(marked[1000 + i] for i in range(150))
+    assert sum(marked[i] for i in range(300)) < 60  # the others pass straight through
+    assert seen.words.count() <= seen.n_words
 
 
 def test_exact_awkward(spark):
