@@ -46,10 +46,33 @@ def test_slot_map_versions(spark):
     assert max(loads) - min(loads) <= 50 and moved == sum(a != b for a, b in zip(before, m.current, strict=True)) < 128
     m.rebalance(weight, 3)
     assert set(m.current) == {0, 1, 2}
-    assert m.versions[1] == before and len(m.versions) == 4
+    assert m.versions[1] == before and m.version == len(m.versions) == 4
     assert m.frame(spark).count() == 4 * 256
-    same = m.rebalance(weight)
-    assert same == 0
+    assert m.rebalance(weight) == 0 and m.version == 4
+
+
+def test_stored_map_is_edited_by_later_calls(spark, tmp_path):
+    path, rng = str(tmp_path / "map"), random.Random(7)
+    rows = [(i, "x" * rng.randrange(1, 200)) for i in range(3000)]
+    _, one = shard(docs(spark, rows), 8, 512, map_path=path)
+    _, same = shard(docs(spark, rows), 8, 512, map_path=path)
+    assert one.version == 2 and same.version == 2 and same.current == one.current  # nothing to move
+    more = rows + [(5000 + i, "y" * rng.randrange(1, 400)) for i in range(150)]
+    found, two = shard(docs(spark, more), 8, map_path=path)
+    moved = sum(a != b for a, b in zip(one.current, two.current, strict=True))
+    assert two.version == 3 and 0 < moved < 100
+    sizes = [r[1] for r in found.groupBy("shard").sum("size").collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.01 * max(sizes)
+    _, grown = shard(docs(spark, more), 9, map_path=path)
+    assert grown.version == 4 and set(grown.current) == set(range(9))
+    assert SlotMap.load(spark, path, 2).current == one.current and SlotMap.load(spark, path).current == grown.current
+
+
+def test_shards_without_ids_are_even(spark):
+    rng = random.Random(8)
+    rows = [(i if i % 2 else None, f"{i} " + "x" * rng.randrange(1, 300)) for i in range(4000)]
+    sizes = [r[1] for r in shard(docs(spark, rows), 8)[0].groupBy("shard").sum("size").collect()]
+    assert max(sizes) - min(sizes) <= 0.01 * max(sizes)
 
 
 def test_shards_awkward(spark):
@@ -57,7 +80,11 @@ def test_shards_awkward(spark):
     rows, _ = shard(d, 3, 16)
     assert rows.count() == d.count()
     assert shard(empty(spark), 8, 16)[0].count() == 0
-    assert "_shard" in shard_documents(docs(spark, [(1, "a"), (2, None)]), 2, 8).columns
+    kept = shard_documents(d, 2, 8)
+    assert kept.columns == [*d.columns, "_shard"] and kept.drop("_shard").exceptAll(d).count() == 0 and kept.count() == d.count()
+    clash = docs(spark, [(1, "a"), (2, None)]).selectExpr("*", "1 AS _vs", "2 AS SHARD")
+    assert shard_documents(clash, 2, 8).columns == [*clash.columns, "_shard"]
+    assert shard_documents(empty(spark), 2, 8).count() == 0
 
 
 def base_spans(text):
