@@ -34,7 +34,7 @@ def op1_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_scan(_documents(spark, sf_dir))
-    return _with_doc_id(rows, "n_assign", "n_access", "n_hex", "n_checked", "base_sha256", "spans")
+    return _with_doc_id(rows, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_checked")
 
 
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
