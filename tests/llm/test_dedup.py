@@ -10,7 +10,7 @@ from manyfold.llm import exact_dedup as exact_module
 from manyfold.llm import near_dedup as near
 from manyfold.llm.components import components
 from manyfold.llm.exact_dedup import drop_copies, exact_dedup
-from manyfold.llm.line_dedup import LineRuns, line_dedup
+from manyfold.llm.line_dedup import LineRuns, line_batch, line_dedup
 from manyfold.llm.near_dedup import drop_near_copies, near_dedup
 from manyfold.llm.substring_dedup import COVERS, substring_dedup
 
@@ -110,6 +110,32 @@ def test_line_runs_levels(spark):
     assert {r.h1 for r in store.held_by(2).collect()} == {1, 2, 3, 4, 5}
 
 
+def test_line_runs_are_read_in_place(spark):
+    store = LineRuns(spark, fanout=3)
+    for b in range(2):
+        store.add(spark.range(b * 50, b * 50 + 200).selectExpr("id AS h1", "-id AS h2", "1L AS n_docs", "id AS last_id"))
+    batch = store.run(store._write(spark.range(300).selectExpr("id AS h1", "-id AS h2", "1L AS n_docs", "id AS last_id"), "batch"))
+    novel = store.novel(batch)
+    plan = novel._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    assert "Sort [" not in plan  # runs and batch are in order as they are read
+    assert {r.h1 for r in novel.collect()} == set(range(250, 300))
+
+
+def test_line_runs_are_opened_by_a_later_session(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(f"Common line number {rng.randrange(12)} of some length" for _ in range(3))) for i in range(40)]
+    path = str(tmp_path / "runs")
+    for part in (rows[:15], rows[15:30], rows[30:]):  # each batch through a store that is opened anew
+        later = spark.newSession()
+        LineRuns(later, 2, path).add(line_batch(later.createDataFrame(part, "doc_id long, text string")))
+    many = LineRuns(spark, 2, path)
+    assert many.version == 3
+    one = LineRuns(spark)
+    one.add(line_batch(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(many.held_by(3).collect()) == sorted(one.held_by(3).collect()) != []
+
+
 def test_lines_awkward(spark):
     d = awkward(spark)
     got = line_dedup(d)
