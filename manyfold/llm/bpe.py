@@ -16,7 +16,6 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from manyfold.llm.common import keyed
@@ -134,25 +133,30 @@ class PrefixEncoder:
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return parse_ranks(f.read())
+
+
+def parse_ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
 @lru_cache(maxsize=2)
-def _encoder(name: str, pattern: str) -> PrefixEncoder:
-    return PrefixEncoder(read_ranks(SparkFiles.get(name)), pattern)
+def _encoder(raw: bytes, pattern: str) -> PrefixEncoder:
+    """One to a worker for each vocabulary and pattern."""
+    return PrefixEncoder(parse_ranks(raw), pattern)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per input row: _id, n_tokens, ids_sha256, decoded_sha256 (and ids array<int> if asked for).
 
-    vocabulary is a file of base64 tokens and ranks on the driver; it is sent to the executors. Each match of pattern
+    vocabulary is a file of base64 tokens and ranks on the driver (some megabytes at most); its content is broadcast. Each match of pattern
     is encoded by itself. A null or empty text has no tokens. No shuffle.
     """
-    docs.sparkSession.sparkContext.addFile(vocabulary)
-    name = vocabulary.rsplit("/", 1)[-1]
+    with open(vocabulary, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(name, pattern)
+        encoder = _encoder(sent.value, pattern)
         for batch in batches:
             columns: list[list] = [[], [], [], []]
             for text in batch.column(1):
