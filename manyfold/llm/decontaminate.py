@@ -6,12 +6,14 @@ other place a window starts, sized by a class of item lengths. The CGK embedding
 leaving each symbol by a random bit that depends on step and symbol, so windows at a small edit distance agree at most
 steps. Each of several repetitions samples a few steps; windows and items that agree there are candidates, whose edit
 distance is then computed exactly. Items of more than PIECE words are searched by pieces: one piece at least has no more
-than its own share of the edits, so recall doesn't fall with an item's length. The whole item is verified.
+than its own share of the edits, so recall doesn't fall with an item's length. The whole item is verified. Items of one word are
+found by its hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.llm.common import NOT_ALNUM, keyed, mix, text_chunks, window_hashes, word_hashes, word_spans
+from manyfold.llm.common import NOT_ALNUM, keyed, mix, text_chunks, window_hashes, word_hashes, word_spans, written
 
 REPETITIONS = 24
 SAMPLED = 3
@@ -27,13 +29,20 @@ SAMPLED = 3
 EDITS = 0.2
 #: Words of a piece of an item, at most; longer items are searched by pieces of nearly equal length.
 PIECE = 30
-#: Items embedded and sent to the executors at a time.
+#: Items, and bytes of their texts (but for a single item that is longer), embedded and sent to the executors at a time.
 ITEMS = 4096
+BYTES = 4 << 20
+#: Blocks of items that one pass over the documents holds, at most.
+BLOCKS = 16
 _PAIR_BITS = 20
+#: Scripts written without spaces, in which every character counts as a word, and their marks, which separate.
+_UNSPACED = r"([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}])"
+_MARKS = r"[\x{3000}-\x{303F}\x{30FB}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]"
 
 
 def words_of(column) -> list[np.ndarray]:
-    """Hashes of the words of each text: lower-cased runs of letters, digits and non-ASCII characters."""
+    """Hashes of the words of each text: lower-cased runs of letters, digits and non-ASCII characters, and the single
+    characters of scripts without spaces."""
     out = []
     for _, _, first, hashes in _runs(column):
         out.extend(hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True))
@@ -41,11 +50,18 @@ def words_of(column) -> list[np.ndarray]:
 
 
 def _runs(column):
-    for row, data, offsets in text_chunks(pc.utf8_lower(column)):
+    for row, data, offsets in text_chunks(_spaced(pc.utf8_lower(column))):
         start, end, first = word_spans(data, offsets, NOT_ALNUM)
         yield row, len(first) - 1, first, word_hashes(data, start, end)
 
 
+def _spaced(column):
+    lead = (np.uint8(0xE0), np.uint8(0xE1))  # first bytes of the scripts' characters in UTF-8; from 0xE3 on all others
+    if any((data >= 0xE3).any() or np.isin(data, lead).any() for _, data, _ in text_chunks(column)):
+        column = pc.replace_substring_regex(pc.replace_substring_regex(column, _MARKS, " "), _UNSPACED, r" \1 ")
+    return column
+
+
 def edits_allowed(length: int, share: float = EDITS) -> int:
     return int(share * length)
 
@@ -76,8 +92,11 @@ def nearest(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 class Benchmark:
     """The items of one block, their word pairs, their pieces and the keys of the pieces' embeddings."""
 
-    def __init__(self, ids: list[int], texts: list[str], share: float = EDITS):
-        items = [(i, w) for i, w in zip(ids, words_of(pa.array([t or "" for t in texts], pa.string())), strict=True) if len(w) >= 2]
+    def __init__(self, ids: list[int | None], texts: list[str | None], share: float = EDITS):
+        words = list(zip(ids, words_of(pa.array([t or "" for t in texts], pa.string())), strict=True))
+        single = sorted((int(w[0]), k) for k, (_, w) in enumerate(words) if len(w) == 1)
+        self.single, self.single_ids = np.array([h for h, _ in single], np.uint64), [words[k][0] for _, k in single]
+        items = [(i, w) for i, w in words if len(w) >= 2]
         self.ids, self.words = [i for i, _ in items], [w for _, w in items]
         self.edits = [edits_allowed(len(w), share) for w in self.words]
         self.pairs = np.zeros(1 << _PAIR_BITS, bool)
@@ -135,13 +154,26 @@ class Benchmark:
                         item, offset, _ = self.pieces[m]
                         near.setdefault((int(text[start]), item), []).append(start - offset)
 
-    def find(self, column) -> list[tuple[int, int, int, int, int]]:
+    def _single_words(self, row: int, first: np.ndarray, words: np.ndarray, text: np.ndarray) -> list[tuple]:
+        """The first place of each item of one word in each text that has it."""
+        lo, hi = np.searchsorted(self.single, words, "left"), np.searchsorted(self.single, words, "right")
+        found: dict[tuple[int, int], int] = {}
+        for at in np.flatnonzero(hi > lo).tolist():
+            for k in range(int(lo[at]), int(hi[at])):
+                found.setdefault((int(text[at]), k), at - int(first[text[at]]))
+        return [(row + t, self.single_ids[k], 0, place, 1) for (t, k), place in found.items()]
+
+    def find(self, column) -> list[tuple[int, int | None, int, int, int]]:
         """(row, item id, edits, first word, words) of the texts' nearest stretch to each item they hold."""
         out = []
         for row, n, first, words in _runs(column):
             if not len(words):
                 continue
             text = np.repeat(np.arange(n), np.diff(first))
+            if len(self.single):
+                out.extend(self._single_words(row, first, words, text))
+            if not self.ids:
+                continue
             end_of = first[1:][text]
             flag = np.zeros(len(words), bool)
             flag[:-1] = self.pairs[window_hashes(words, 2) >> np.uint64(64 - _PAIR_BITS)] & (text[1:] == text[:-1])
@@ -175,29 +207,32 @@ class Benchmark:
         return out
 
 
-def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = ITEMS, share: float = EDITS) -> list[Benchmark]:
-    """The items in blocks of a bounded number, by position in the order of ids; rows without id or words are left out."""
-    out: list[Benchmark] = []
-    ids: list[int] = []
-    texts: list[str] = []
-    for r in benchmark.select(F.col(item_col).cast("long"), text_col).filter(f"{item_col} is not null").orderBy(item_col, text_col).toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        if len(ids) == size:
-            out.append(Benchmark(ids, texts, share))
-            ids, texts = [], []
+def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = ITEMS, share: float = EDITS) -> Iterator[Benchmark]:
+    """The items in blocks of a bounded number and length, in the order of ids (null first); the driver reads and holds
+    one block at a time. Items without a word are left out."""
+    ids: list[int | None] = []
+    texts: list[str | None] = []
+    held = 0
+    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).orderBy(F.asc_nulls_first("i"), "t").toLocalIterator():
+        more = len((r.t or "").encode())
+        if ids and (len(ids) == size or held + more > BYTES):
+            yield Benchmark(ids, texts, share)
+            ids, texts, held = [], [], 0
+        ids.append(r.i)
+        texts.append(r.t)
+        held += more
     if ids:
-        out.append(Benchmark(ids, texts, share))
-    return [b for b in out if b.ids]
+        yield Benchmark(ids, texts, share)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = EDITS) -> DataFrame:
     """(_id, item_id, edits, first_word, n_words): a row for each document and benchmark item that it holds.
 
     A document holds an item if some stretch of its words is within floor(share * words of the item) edits of it;
-    edits and place are those of the nearest stretch found. Items of one word or none are never reported; of items
-    with equal texts each is. The recall of the candidate search is set by REPETITIONS, SAMPLED and PIECE, and what is
-    found is verified exactly. The documents are read once per block of ITEMS items; no shuffle.
+    edits and place are those of the nearest stretch found. Items without a word are never reported, items of one word
+    wherever it is, items without an id with a null; of items with equal texts each is. The recall of the candidate
+    search is set by REPETITIONS, SAMPLED and PIECE, and what is found is verified exactly. The documents are read once
+    per block of items; no shuffle. Null texts are empty; an empty table on either side gives no rows.
     """
     rows = keyed(docs, id_col, text_col)
     parts = []
@@ -215,18 +250,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         parts.append(rows.mapInArrow(search, "_id long, item_id long, edits long, first_word long, n_words long"))
     if not parts:
         return spark.createDataFrame([], "_id long, item_id long, edits long, first_word long, n_words long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: float = EDITS) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item; columns unchanged, no shuffle or join."""
+    """docs without the rows whose text holds a benchmark item, as find_leaks() has it (items without an id or of one word
+    too); columns unchanged, no shuffle or join. Null texts are empty and stay, repeated rows go or stay together; an
+    empty table stays empty. A pass over docs holds BLOCKS blocks of items; with more, what is left is written between.
+    """
     out = docs
-    for block in blocks_of(benchmark, share=share):
+    for k, block in enumerate(blocks_of(benchmark, share=share)):
+        if k and k % BLOCKS == 0:
+            out = written(out, "clean")
         clean = _cleanness(docs.sparkSession.sparkContext.broadcast(block))
-        out = out.filter(clean(F.coalesce(F.col(text_col), F.lit(""))))
+        out = out.filter(clean(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     return out
 
 

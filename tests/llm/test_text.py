@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from manyfold.llm import decontaminate
 from manyfold.llm.bpe import PrefixEncoder, bpe_encode, merge_ranks, read_ranks
 from manyfold.llm.decontaminate import Benchmark, drop_leaks, edits_allowed, find_leaks, nearest, words_of
 from manyfold.llm.secrets import ACCESS, ASSIGN, HEX, KINDS, crc_digits, find_secrets, secret_scan
@@ -156,7 +157,7 @@ def test_bpe_appends_and_edits(encoders, data):
     assert edited == own.extend(piece, []) and own.ids(edited) == merge_ranks(piece, own.ranks)
 
 
-def test_bpe_query(spark, encoders):
+def test_bpe_query(spark, encoders, tmp_path):
     _, reference = encoders
     rows = [(1, "Hello, wörld!  12345"), (2, None), (3, ""), (4, "a" * 3000 + " " * 500 + "é" * 400)]
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -166,6 +167,12 @@ def test_bpe_query(spark, encoders):
         assert (got[i].n_tokens, got[i].ids) == (len(ids), ids)
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    with open(path, "rb") as f:
+        lines = f.read().splitlines()[:256]  # another vocabulary under the same name: single bytes only
+    other = tmp_path / path.rsplit("/", 1)[-1]
+    other.write_bytes(b"\n".join(lines) + b"\n")
+    assert bpe_encode(docs(spark, rows[:1]), str(other), tokenizers.PATTERN).first().n_tokens == len(rows[0][1].encode())
+    assert bpe_encode(docs(spark, rows[:1]), path, tokenizers.PATTERN).first().n_tokens < len(rows[0][1])
     assert bpe_encode(awkward(spark), path, tokenizers.PATTERN).count() == awkward(spark).count()
     assert bpe_encode(empty(spark), path, tokenizers.PATTERN).count() == 0
 
@@ -245,6 +252,32 @@ def test_recall_does_not_fall_with_length(length):
     assert len(want) == 40 and got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_items_without_id_of_one_word_and_of_scripts_without_spaces(spark):
+    chinese = "研究人员在新的城市里发现了一种从未见过的植物，并且把它命名为北方之光。"
+    bench = spark.createDataFrame([(None, "a passage whose item has no id at all"), (5, "Xylograph!"), (6, None), (7, "..."), (8, chinese)], "item_id long, text string")
+    rows = [
+        (1, "here is a passage whose item has no id at all, copied"), (2, "the xylograph of a friend"), (3, "xylographs are not it"), (4, None), (5, ""),
+        (6, "他们说：" + chinese.replace("北方", "南方") + "然后回家了。"), (7, "他们说：然后回家了。"),
+    ]
+    found = find_leaks(docs(spark, rows), bench).collect()
+    assert sorted((r._id, str(r.item_id)) for r in found) == [(1, "None"), (2, "5"), (6, "8")]
+    assert next((r.edits, r.first_word, r.n_words) for r in found if r._id == 2) == (0, 1, 1)
+    assert next(r.edits for r in found if r._id == 6) == 1
+    assert sorted(r.doc_id for r in drop_leaks(docs(spark, rows), bench).collect()) == [3, 4, 5, 7]
+
+
+def test_blocks_are_bounded_and_lose_nothing(spark, monkeypatch):
+    items, rows = planted(9, 0)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(find_leaks(docs(spark, rows), bench).collect())
+    kept = sorted(r.doc_id for r in drop_leaks(docs(spark, rows), bench).collect())
+    monkeypatch.setattr(decontaminate, "BYTES", 600)
+    monkeypatch.setattr(decontaminate, "BLOCKS", 2)
+    assert len(list(decontaminate.blocks_of(bench))) > 4
+    assert sorted(find_leaks(docs(spark, rows), bench).collect()) == whole
+    assert sorted(r.doc_id for r in drop_leaks(docs(spark, rows), bench).collect()) == kept
+
+
 def test_leaks_awkward(spark):
     bench = spark.createDataFrame([(1, "same words here in a row"), (2, None), (None, "x y z"), (3, ""), (4, "one"), (5, "Same, WORDS here in a row!")], "item_id long, text string")
     d = awkward(spark)
