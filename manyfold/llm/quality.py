@@ -22,6 +22,8 @@ FEATURES = 256
 #: Labelled rows that the fit uses at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 60_000
 RIDGE = 1e-2
+#: Partitions of the labelled sample, at most.
+PARTS = 64
 _BINS = 1000
 
 
@@ -90,7 +92,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_i
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([lists, batch.column(1), batch.column(2)], names=["x", "label", "fold"])
 
-    table = written(chosen.mapInArrow(statistics, "x array<double>, label int, fold int"), "quality-rows")
+    # at most limit rows of some 200 bytes, so at most PARTS partial sums of half a megabyte meet in a task
+    table = written(chosen.mapInArrow(statistics, "x array<double>, label int, fold int"), "quality-rows").coalesce(PARTS)
     sums = table.agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*(F.avg(F.col("x")[k]) for k in range(len(NAMES)))).alias("mean"),
@@ -104,12 +107,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_i
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, FEATURES + 1, FEATURES + 2))
+        rows = 0
         for batch in batches:
             x, y, fold = _rows(batch)
+            rows += len(x)
             z = fourier(x, mean, scale, seed)
             for f in (0, 1):
                 total[f] += z[fold == f].T @ np.column_stack([z, y])[fold == f]
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], names=["fold", "part"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], names=["fold", "part"])
 
     def meet(rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(p.as_py()) for p in rows.column("part"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from manyfold.llm.quality import fold_is_not, labelled_sample, pooled, quality_scores
+from manyfold.llm.quality import RIDGE, fit_quality, fold_is_not, fourier, labelled_sample, pooled, quality_scores
 from manyfold.llm.statistics import NAMES, document_statistics
 from manyfold.llm.toxicity import distinct_voters, drop_toxic, fit_toxicity, label_model, toxicity_scores, train_logistic
 
@@ -75,6 +75,24 @@ def test_quality_held_out(spark):
     assert again == pytest.approx(got, abs=1e-6)  # held-out labels tell nothing
 
 
+def test_quality_model_is_the_direct_solution(spark):
+    """Means, ridge weights and calibration against one numpy solve over all labelled rows."""
+    rows, labels = made(5)
+    frame = docs(spark, rows).repartition(7)
+    model = fit_quality(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), fold_is_not(1, 3))
+    usable = [k for k in range(len(rows)) if zlib.crc32(str(rows[k][0]).encode()) % 3 != 1]
+    x = document_statistics(pa.array([rows[k][1] for k in usable]))
+    y = np.array([labels[k][1] for k in usable], float)
+    scale = x.std(0)
+    scale[scale < 1e-9] = 1
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, scale)
+    z = fourier(x, x.mean(0), scale, model.seed)
+    gram = z.T @ z + RIDGE * np.eye(z.shape[1])
+    assert np.allclose(gram @ model.weights, z.T @ y, atol=1e-6)
+    assert np.allclose(z @ model.weights, z @ np.linalg.solve(gram, z.T @ y), atol=1e-6)
+    assert (np.diff(model.values) >= 0).all()
+
+
 def test_toxicity_held_out(spark):
     rows, labels = made(2)
     frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
