@@ -151,8 +151,9 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str):
             np.add.at(near, low, 1)
             np.add.at(near, high + 1, -1)
             at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            words = word_hashes(data, start, end)
-            one, two = window_hashes(words, window), window_hashes(words, window, 0x2545F4914F6CDD1D)
+            # two hashes of the window, each from word hashes of its own
+            one = window_hashes(word_hashes(data, start, end), window)
+            two = window_hashes(word_hashes(data, start, end, seed=7), window, 0x2545F4914F6CDD1D)
             texts_of = row + text[at]
             found.append((one[at], two[at], block.ids[texts_of], block.sub[texts_of] + at - first[text[at]]))
         if not found:
