@@ -27,6 +27,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcastable(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
+    """Whether Spark's estimate lets a request to broadcast df stand."""
+    return estimated_bytes(df) <= limit
+
+
 def join(
     left: DataFrame,
     right: DataFrame,
@@ -64,14 +69,14 @@ def join(
     right = right.toDF(*names_right).alias("r")
     hint = _HINTS.get(strategy)
     if hint == "broadcast":
-        if estimated_bytes(right if side == "right" else left) > broadcast_limit:
+        if not broadcastable(right if side == "right" else left, broadcast_limit):
             hint = None
     if hint:
         left, right = (left, right.hint(hint)) if side != "left" else (left.hint(hint), right)
     keys = [F.col(f"l.`{a}`").eqNullSafe(F.col(f"r.`{b}`")) if null_safe else F.col(f"l.`{a}`") == F.col(f"r.`{b}`") for a, b in on]
     every = keys + ([F.expr(condition) if isinstance(condition, str) else condition] if condition is not None else [])
     if how == "existence":
-        return _existence(left, right, every, exists_as)
+        return _existence(left, right, on, null_safe, condition, exists_as)
     if not every:
         return left.crossJoin(right) if how in ("inner", "cross") else left.join(right, F.lit(True), _spark_type(how))
     whole = every[0]
@@ -84,10 +89,16 @@ def _spark_type(how: str) -> str:
     return {"semi": "left_semi", "anti": "left_anti", "cross": "inner", "full": "full_outer"}.get(how, how)
 
 
-def _existence(left: DataFrame, right: DataFrame, every: list[Column], name: str) -> DataFrame:
-    """left with a column that tells whether a match exists: an EXISTS predicate in the select list."""
-    whole = F.lit(True)
-    for c in every:
-        whole = whole & c
-    matched = left.join(right, whole, "left_semi").withColumn(name, F.lit(True))
-    return matched.unionByName(left.join(right, whole, "left_anti").withColumn(name, F.lit(False)))
+def _existence(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], null_safe: bool, condition: Column | str | None, name: str) -> DataFrame:
+    """left with a column that tells whether a match exists: Spark's existence join, by an EXISTS in the select list, which
+    reads each side once. A condition given as a Column can't be put there; it costs a semi and an anti join."""
+    if condition is None or isinstance(condition, str):
+        equal = "<=>" if null_safe else "="
+        where = [f"l.`{a}` {equal} r.`{b}`" for a, b in on] + ([f"({condition})"] if condition else [])
+        text = f"SELECT l.*, EXISTS (SELECT 1 FROM {{r}} r WHERE {' AND '.join(where) or 'true'}) AS `{name}` FROM {{l}} l"
+        return left.sparkSession.sql(text, l=left, r=right)
+    for a, b in on:
+        equal = F.col(f"l.`{a}`").eqNullSafe(F.col(f"r.`{b}`")) if null_safe else F.col(f"l.`{a}`") == F.col(f"r.`{b}`")
+        condition = condition & equal
+    matched = left.join(right, condition, "left_semi").withColumn(name, F.lit(True))
+    return matched.unionByName(left.join(right, condition, "left_anti").withColumn(name, F.lit(False)))

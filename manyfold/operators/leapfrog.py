@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from manyfold.plans.graph import QueryGraph
-from manyfold.plans.query import MultiJoin
 
 
 class Trie:
@@ -94,31 +93,37 @@ def matches(keys: Mapping[str, Mapping[int, np.ndarray]], rows: Mapping[str, int
     return out
 
 
-def leapfrog(query: MultiJoin, graph: QueryGraph, parts: Mapping[str, DataFrame], cell: str) -> DataFrame:
-    """The relations' rows of each cell, one struct column per relation, joined cell by cell."""
+def variable_column(v: int) -> str:
+    return f"__variable{v}"
+
+
+def leapfrog(graph: QueryGraph, parts: Mapping[str, DataFrame], cell: str, cells: int, variable_order: Sequence[int] | None = None) -> DataFrame:
+    """The relations' rows of each cell, one struct column per relation, joined cell by cell.
+
+    Parts hold, beside their columns and the cell, their variables as variable_column names them; these are compared by
+    their bytes. The order of variables is a path through the query graph where none is given.
+    """
     names = list(parts)
-    structs = {r: T.StructType([f for f in df.schema.fields if f.name != cell]) for r, df in parts.items()}
+    own_columns = {r: [f for f in df.schema.fields if f.name != cell] for r, df in parts.items()}
+    structs = {r: T.StructType(fields) for r, fields in own_columns.items()}
     tagged = []
     for k, r in enumerate(names):
         columns = [F.struct(*(F.col(f"`{r}`.`{f.name}`") for f in structs[r])).alias(s) if s == r else F.lit(None).cast(structs[s]).alias(s) for s in names]
         tagged.append(parts[r].select(F.col(f"`{r}`.`{cell}`").alias(cell), F.lit(k).alias("__of"), *columns))
-    rows = reduce(DataFrame.unionAll, tagged)
-    order = graph.variable_path()
-    classes = graph.classes
+    rows = reduce(DataFrame.unionAll, tagged).repartitionById(cells, F.col(cell))
+    order = list(variable_order or graph.variable_path())
+    holders = {v: [r for r in names if v in graph.of[r]] for v in range(len(graph.classes))}
 
     def within(table: pa.Table) -> pa.Table:
         of = table.column("__of").to_numpy()
         own = {r: np.flatnonzero(of == k) for k, r in enumerate(names)}
         keys: dict[str, dict[int, np.ndarray]] = {r: {} for r in names}
-        for v, members in enumerate(classes):
-            holders = {m[0]: m[1] for m in reversed(members)}
-            arrays = [pa.compute.struct_field(table.column(r).take(pa.array(own[r])).combine_chunks(), c) for r, c in holders.items()]
+        for v, held_by in holders.items():
+            arrays = [pa.compute.struct_field(table.column(r).take(pa.array(own[r])).combine_chunks(), variable_column(v)) for r in held_by]
             arrays = [pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a for a in arrays]
-            if all(pa.types.is_integer(a.type) for a in arrays):
-                arrays = [a.cast(pa.int64()) for a in arrays]
-            codes = pa.concat_arrays([a.cast(arrays[0].type) for a in arrays]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            codes = pa.concat_arrays(arrays).dictionary_encode().indices.to_numpy(zero_copy_only=False)
             ends = np.cumsum([len(a) for a in arrays])
-            for r, lo, hi in zip(holders, ends - [len(a) for a in arrays], ends, strict=True):
+            for r, lo, hi in zip(held_by, ends - [len(a) for a in arrays], ends, strict=True):
                 keys[r][v] = codes[lo:hi].astype(np.int64)
         picked = matches(keys, {r: len(x) for r, x in own.items()}, order)
         return pa.table({r: table.column(r).take(pa.array(own[r][picked[r]])) for r in names})

@@ -3,34 +3,41 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyfold.operators.hypercube import connected_order, one_round, routable
-from manyfold.plans.cost import IndependenceEstimator, SizeEstimator, multi_round_cost, one_round_cost
+from manyfold.operators.binary import broadcastable, estimated_bytes
+from manyfold.operators.hypercube import connected_order, most_conditions, one_round, routable
+from manyfold.plans.cost import IndependenceEstimator, SampleEstimator, SizeEstimator, multi_round_bytes, one_round_bytes
 from manyfold.plans.graph import JoinTree, QueryGraph, join_tree
 from manyfold.plans.query import MultiJoin, ref
-from manyfold.plans.shares import best_shares
-from manyfold.plans.stats import RelationStats, collect_stats
+from manyfold.plans.shares import best_shares, load, rounded_shares
+from manyfold.plans.stats import RelationStats, collect_stats, derived, row_bytes
 
 MODES = ("default", "one-round", "mixed", "core")
 
 
-def left_deep(query: MultiJoin, start: str | None = None, hints: Mapping[str, str] | None = None) -> DataFrame:
+def left_deep(query: MultiJoin, start: str | None = None, hints: Mapping[str, str] | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """A chain of two-way joins in which every relation meets all its conditions with those before it.
 
-    Relations without a common variable are cross-joined, as SQL asks. hints: relation -> Spark join hint.
+    Without an order, next is the relation that meets most conditions. Relations without a common variable are
+    cross-joined, as SQL asks. hints: relation -> Spark join hint; a broadcast is asked for only of a relation that Spark
+    estimates within the limit of a broadcast on request.
     """
     graph = query.graph()
-    order = connected_order(graph, start)
+    order = list(order or most_conditions(graph, start))
 
     def part(r: str) -> DataFrame:
         df = query.prepared(r)
-        return df.hint(hints[r]) if hints and r in hints else df
+        if hints and r in hints and (hints[r] != "broadcast" or broadcastable(df)):
+            return df.hint(hints[r])
+        return df
 
     joined, done = part(order[0]), [order[0]]
     for r in order[1:]:
@@ -54,56 +61,166 @@ class MultiRoundStrategy(Protocol):
     def order(self, query: MultiJoin, graph: QueryGraph, stats: Mapping[str, RelationStats]) -> list[str]: ...
 
 
-class LowestLoad:
-    """Integer shares with the lowest load; variables whose columns have no common key type get a share of 1."""
+class VariableOrder(Protocol):
+    def order(self, graph: QueryGraph, stats: Mapping[str, RelationStats]) -> list[int]: ...
+
+
+class _Shares:
+    """Variables whose columns have no common key type get a share of 1."""
 
     def shares(self, query, graph, stats, cells):
         can = routable(query, graph)
         place = {v: k for k, v in enumerate(can)}
         of = {r: frozenset(place[v] for v in vs if v in place) for r, vs in graph.of.items()}
-        found = best_shares({r: stats[r].rows for r in graph.relations}, of, len(can), cells)
+        found = self.pick({r: stats[r].rows for r in graph.relations}, of, len(can), cells)
         return tuple(found[place[v]] if v in place else 1 for v in range(len(graph.classes)))
 
 
+class LowestLoad(_Shares):
+    """Integer shares with the lowest load."""
+
+    pick = staticmethod(best_shares)
+
+
+class LinearProgram(_Shares):
+    """The share linear program's solution, each share rounded down or up."""
+
+    @staticmethod
+    def pick(sizes, of, n_variables, cells):
+        return rounded_shares(sizes, of, n_variables, cells) if n_variables else ()
+
+
 class BreadthFirst:
     def order(self, query, graph, stats):
         return connected_order(graph)
 
 
+class MostConditions:
+    def order(self, query, graph, stats):
+        return most_conditions(graph, rows={r: s.rows for r, s in stats.items()})
+
+
+class ByPath:
+    """Each variable shares a relation with the one before."""
+
+    def order(self, graph, stats):
+        return graph.variable_path()
+
+
+class ByDistinct:
+    """Variables by the fewest distinct values of any of their columns, so that early levels of the tries are small."""
+
+    def order(self, graph, stats):
+        least = [min((stats[r].distinct.get(c, math.inf) for r, c in members if r in stats), default=math.inf) for members in graph.classes]
+        return sorted(range(len(least)), key=lambda v: (least[v], v))
+
+
+#: Strategies by the names that session settings use.
+SHARES = {"lowest-load": LowestLoad, "linear-program": LinearProgram}
+ROUNDS = {"most-conditions": MostConditions, "breadth-first": BreadthFirst}
+SIZES = {"independence": IndependenceEstimator, "sample": SampleEstimator}
+VARIABLES = {"path": ByPath, "distinct": ByDistinct}
+
+#: (relation, its key columns) -> statistics that are there already, or None.
+Known = Callable[[str, Sequence[str]], RelationStats | None]
+
+
 @dataclass
 class Planner:
-    """cells: how many cells a one-round join has at most. bias: one round is chosen where its cost times bias is
-    below the multi-round cost. decisions: what was chosen, for explaining."""
+    """cells: how many cells a one-round join has at most. bias: one round is chosen where the bytes that it sends times
+    bias are below those of the multi-round plan. leapfrog_rows: rows that a cell may hold, by estimate, to be joined by
+    leapfrog; larger cells are joined by Spark's joins, which spill. decisions: what was chosen, for explaining. kept:
+    derived relations that were cached for statistics and join; release() lets go of them."""
 
     mode: str = "default"
     cells: int = 100
     local: str = "joins"
     bias: float = 1.0
     one_round: OneRoundStrategy = field(default_factory=LowestLoad)
-    multi_round: MultiRoundStrategy = field(default_factory=BreadthFirst)
+    multi_round: MultiRoundStrategy = field(default_factory=MostConditions)
     estimator: SizeEstimator = field(default_factory=IndependenceEstimator)
+    variables: VariableOrder = field(default_factory=ByPath)
+    leapfrog_rows: int = 5_000_000
+    sample_fraction: float = 0.01
     decisions: list[str] = field(default_factory=list)
+    kept: list[DataFrame] = field(default_factory=list)
 
-    def plan(self, query: MultiJoin, stats: Mapping[str, RelationStats] | None = None) -> DataFrame:
+    def plan(self, query: MultiJoin, known: Known | None = None) -> DataFrame:
         if self.mode not in MODES:
             raise ValueError(f"unknown mode {self.mode}; one of {', '.join(MODES)}")
-        self.decisions.clear()
         graph = query.graph()
         if self.mode == "default" or len(query.relations) < 3 or not query.equalities:
             self.decisions.append("multi-round: all")
             return left_deep(query)
-        stats = dict(stats or {})
-        for r in query.relations:
-            if r not in stats or query.local.get(r):
-                keys = [ref(m).alias(m[1]) for c in graph.classes for m in c if m[0] == r]
-                stats[r] = collect_stats(query.prepared(r).select(*(keys or [F.lit(1).alias("one")])))  # reads the keys only
+        if self.mode != "one-round" and self.bias >= 1:
+            large = [r for r in query.relations if estimated_bytes(query.prepared(r)) > _broadcast_bytes(query)]
+            if len(large) < 2:
+                self.decisions.append("multi-round: all (every relation but one is small enough to broadcast, so nothing else is sent)")
+                return left_deep(query, start=next(iter(large), None))
+        stats = self._statistics(query, graph, known)
         if self.mode == "one-round":
             return query_round(self, query, graph, stats)
+        before = len(self.decisions)
         if self.mode == "core":
-            return self._core(query, graph, stats)
-        tree = join_tree(graph)
-        joined = self._tree(query, graph, stats, tree)
-        return query.finish(joined)
+            joined = self._core(query, graph, stats)
+        else:
+            joined = query.finish(self._tree(query, graph, stats, join_tree(graph)))
+        if not any(d.startswith("one-round") for d in self.decisions[before:]):
+            return left_deep(query, order=self.multi_round.order(query, graph, stats))  # no cycle is worth a round: one chain
+        return joined
+
+    def release(self) -> None:
+        """Lets go of what was cached; results that are still to be read compute it again."""
+        for df in self.kept:
+            df.unpersist()
+        self.kept.clear()
+
+    def _statistics(self, query: MultiJoin, graph: QueryGraph, known: Known | None) -> dict[str, RelationStats]:
+        """Statistics of the key columns, once for each distinct input, several at a time; derived inputs are cached, as
+        both the statistics and the join read them."""
+        keys = {r: [m[1] for c in graph.classes for m in c if m[0] == r] for r in query.relations}
+        inputs: list[tuple[DataFrame, list[str]]] = []  # relations without predicates of their own over equal inputs
+        stats: dict[str, RelationStats] = {}
+        for r, df in query.relations.items():
+            if query.local.get(r):
+                inputs.append((query.prepared(r), [r]))
+                continue
+            plain = not any(c in query.hidden for c in keys[r])
+            found = known(r, keys[r]) if known and plain else None
+            if found is not None:
+                stats[r] = found
+                continue
+            same = next((i for i in inputs if not query.local.get(i[1][0]) and i[0].columns == df.columns and i[0].semanticHash() == df.semanticHash() and i[0].sameSemantics(df)), None)
+            if same:
+                same[1].append(r)
+            else:
+                inputs.append((df, [r]))
+        for df, _ in inputs:
+            if derived(df):
+                self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+
+        def collect(item: tuple[DataFrame, list[str]]) -> RelationStats:
+            df, names = item
+            columns = [F.col(f"`{c}`") for c in dict.fromkeys(c for r in names for c in keys[r])]
+            return collect_stats(df.select(*(columns or [F.lit(1).alias("one")])), self.sample_fraction)
+
+        with ThreadPoolExecutor(4) as pool:
+            for (_, names), found in zip(inputs, pool.map(collect, inputs), strict=True):
+                stats.update(dict.fromkeys(names, found))
+        return stats
+
+    def _joined_once(self, part: MultiJoin, graph: QueryGraph, stats, shares) -> DataFrame:
+        """One round; by leapfrog only where the cells are estimated to be small enough, with room for skew. Without a
+        variable to deal by there would be one cell, so that's a chain of joins."""
+        if not routable(part, graph):
+            self.decisions.append(f"multi-round: {', '.join(graph.relations)} (no variable can be dealt to cells)")
+            return left_deep(part)
+        rows = 4 * load({r: stats[r].rows for r in graph.relations}, graph.of, shares)
+        local = self.local
+        if local == "leapfrog" and rows > self.leapfrog_rows:
+            self.decisions.append(f"joins within cells: cells of up to {rows:.0f} rows are too large for leapfrog")
+            local = "joins"
+        return one_round(part, shares, local, self.variables.order(graph, stats) if local == "leapfrog" else None)
 
     def _core(self, query: MultiJoin, graph: QueryGraph, stats) -> DataFrame:
         """The cyclic core in one round if that is cheaper, then the branches in a chain."""
@@ -152,11 +269,12 @@ class Planner:
             part = sub_query(query, names)
             sub = part.graph()
             shares = self.one_round.shares(part, sub, stats, self.cells)
-            once = one_round_cost(sub, stats, names, shares) * self.bias
-            more = multi_round_cost(part, sub, stats, self.multi_round.order(part, sub, stats), self.estimator)
-            self.decisions.append(f"{'one-round' if once < more else 'multi-round'}: {', '.join(names)} ({once:.0f} against {more:.0f} rows, shares {shares})")
+            width = {r: row_bytes(part.prepared(r)) for r in names}
+            once = one_round_bytes(sub, stats, names, shares, width) * self.bias
+            more = multi_round_bytes(part, sub, stats, self.multi_round.order(part, sub, {r: stats[r] for r in names}), self.estimator, width, _broadcast_bytes(query))
+            self.decisions.append(f"{'one-round' if once < more else 'multi-round'}: {', '.join(names)} ({once:.0f} against {more:.0f} bytes, shares {shares})")
             if once < more:
-                return aliased(part, one_round(part, shares, self.local))
+                return aliased(part, self._joined_once(part, sub, stats, shares))
         else:
             self.decisions.append(f"multi-round: {', '.join(r for c in children for r in c.relations())}")
         first = min(children, key=lambda c: (c.relation is not None, 0))
@@ -170,13 +288,19 @@ class Planner:
         return joined
 
 
+def _broadcast_bytes(query: MultiJoin) -> int:
+    """Up to how many bytes Spark broadcasts a side of a join on its own."""
+    session = next(iter(query.relations.values())).sparkSession._jsparkSession
+    return session.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def query_round(planner: Planner, query: MultiJoin, graph: QueryGraph, stats) -> DataFrame:
     """The whole query in one round; parts without a common variable are joined by themselves and crossed."""
     parts = graph.parts()
     if len(parts) == 1:
         shares = planner.one_round.shares(query, graph, stats, planner.cells)
         planner.decisions.append(f"one-round: {', '.join(graph.relations)} (shares {shares}, {math.prod(shares)} cells)")
-        return one_round(query, shares, planner.local)
+        return planner._joined_once(query, graph, stats, shares)
     joined = None
     for names in parts:
         part = sub_query(query, names)
@@ -186,14 +310,14 @@ def query_round(planner: Planner, query: MultiJoin, graph: QueryGraph, stats) ->
             sub = part.graph()
             shares = planner.one_round.shares(part, sub, stats, planner.cells)
             planner.decisions.append(f"one-round: {', '.join(names)} (shares {shares})")
-            piece = aliased(part, one_round(part, shares, planner.local))
+            piece = aliased(part, planner._joined_once(part, sub, stats, shares))
         joined = piece if joined is None else joined.crossJoin(piece)
     return query.finish(joined)
 
 
 def sub_query(query: MultiJoin, names: Sequence[str]) -> MultiJoin:
     """The join of some relations, without residual and output list; columns that the whole query reads stay."""
-    out = MultiJoin({r: query.relations[r] for r in names}, [e for e in query.equalities if e[0][0] in names and e[1][0] in names], {r: query.local[r] for r in names if r in query.local})
+    out = MultiJoin(hidden=query.hidden, relations={r: query.relations[r] for r in names}, equalities=[e for e in query.equalities if e[0][0] in names and e[1][0] in names], local={r: query.local[r] for r in names if r in query.local})
     for members in query.graph().classes:  # relations that only a third one outside makes equal
         own = [m for m in members if m[0] in names]
         out.equalities.extend((own[0], m) for m in own[1:] if (own[0], m) not in out.equalities and m[0] != own[0][0])

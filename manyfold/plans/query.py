@@ -32,6 +32,28 @@ def key_type(kinds: Iterable[T.DataType]) -> T.DataType | None:
     return kinds[0] if all(k == kinds[0] for k in kinds) and isinstance(kinds[0], plain) else None
 
 
+def collated(kind: T.DataType | None) -> bool:
+    """Whether equal strings of the type may differ in their bytes."""
+    return isinstance(kind, T.StringType) and getattr(kind, "collation", "UTF8_BINARY") != "UTF8_BINARY"
+
+
+def normal(column: SparkColumn, kind: T.DataType) -> SparkColumn:
+    """The key in its common type; of numbers that SQL takes as equal (0.0 and -0.0, all NaN) one form."""
+    column = column.cast(kind)
+    if isinstance(kind, T.DoubleType):
+        return F.when(F.isnan(column), F.lit(float("nan"))).otherwise(column + F.lit(0.0))
+    return column
+
+
+def _stand_in(kind: T.DataType) -> SparkColumn:
+    """A value of the type to put in a null's place, beside a flag that it was one."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit("").cast(kind)
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.lit("1970-01-01").cast(kind)
+    return F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0).cast(kind)
+
+
 # --- Catalyst's parse trees, walked from Python --------------------------------------------------------------------
 
 
@@ -80,7 +102,8 @@ class MultiJoin:
     """relations: name -> DataFrame, in query order. equalities: pairs of columns of different relations.
 
     local: predicates over one relation. residual: all others, equalities between keys of unlike types among them. No
-    conjunct is ever dropped. output: (SQL expression, name) pairs; empty for all columns as relation_column.
+    conjunct is ever dropped. output: (SQL expression, name) pairs; empty for all columns as relation_column. hidden: key
+    columns that the query itself adds to relations, for equalities between expressions and null-safe ones.
     """
 
     relations: dict[str, DataFrame]
@@ -88,6 +111,7 @@ class MultiJoin:
     local: dict[str, list[str]] = field(default_factory=dict)
     residual: list[str] = field(default_factory=list)
     output: list[tuple[str, str]] = field(default_factory=list)
+    hidden: set[str] = field(default_factory=set)
 
     @classmethod
     def build(cls, relations: Mapping[str, DataFrame], predicates: Sequence[str] = (), output: Sequence[tuple[str, str]] = ()) -> MultiJoin:
@@ -124,14 +148,45 @@ class MultiJoin:
         if len(touched) == 1:
             self.local.setdefault(touched.pop(), []).append(text)
             return
-        sides = [conjunct.left(), conjunct.right()] if _kind(conjunct) == "EqualTo" else []
-        if sides and len(touched) == 2 and all(_kind(s) == "UnresolvedAttribute" for s in sides) and all(len(_seq(s.nameParts())) <= 2 for s in sides):
-            a, b = (self.resolve(_seq(s.nameParts())) for s in sides)
-            if key_type([self.type_of(a), self.type_of(b)]) is not None:
-                self.equalities.append((a, b))
-                return
+        if len(touched) == 2 and _kind(conjunct) in ("EqualTo", "EqualNullSafe") and self._equality(conjunct):
+            return
         self.residual.append(text)
 
+    def _equality(self, conjunct) -> bool:
+        """Takes an equality of two relations' keys, columns or expressions; False if it has to stay a residual."""
+        spark = next(iter(self.relations.values())).sparkSession
+        sides = []
+        for side in (conjunct.left(), conjunct.right()):
+            holders = {self.resolve(n)[0] for n in _names(side)}
+            if len(holders) != 1:
+                return False
+            relation = holders.pop()
+            if _kind(side) == "UnresolvedAttribute" and len(_seq(side.nameParts())) <= 2:
+                column = self.resolve(_seq(side.nameParts()))
+                sides.append((relation, column, None, self.type_of(column)))
+                continue
+            text = plain_text(spark, side)
+            alone = self.relations[relation].alias(relation).select(F.expr(text))
+            if not alone._jdf.queryExecution().analyzed().deterministic():
+                return False
+            sides.append((relation, None, text, alone.schema[0].dataType))
+        kind = key_type(s[3] for s in sides)
+        if kind is None or sides[0][0] == sides[1][0]:
+            return False
+        values = [F.expr(text) if column is None else ref(column) for _, column, text, _ in sides]
+        if _kind(conjunct) == "EqualNullSafe":
+            for made in ([F.isnull(v) for v in values], [F.coalesce(v.cast(kind), _stand_in(kind)) for v in values]):
+                self.equalities.append(tuple(self._add(s[0], m) for s, m in zip(sides, made, strict=True)))
+            return True
+        self.equalities.append(tuple(column or self._add(relation, v) for (relation, column, _, _), v in zip(sides, values, strict=True)))
+        return True
+
+    def _add(self, relation: str, value: SparkColumn) -> Column:
+        name = f"__key{len(self.hidden)}"
+        self.hidden.add(name)
+        self.relations[relation] = self.relations[relation].alias(relation).select("*", value.alias(name))
+        return relation, name
+
     def graph(self) -> QueryGraph:
         return QueryGraph.build(self.relations, self.equalities)
 
@@ -169,7 +224,7 @@ class MultiJoin:
     def project(self, joined: DataFrame) -> DataFrame:
         if self.output:
             return joined.select(*(F.expr(e).alias(name) for e, name in self.output))
-        return joined.select(*(ref((r, c)).alias(f"{r}_{c}") for r, df in self.relations.items() for c in df.columns))
+        return joined.select(*(ref((r, c)).alias(f"{r}_{c}") for r, df in self.relations.items() for c in df.columns if c not in self.hidden))
 
     def conditions(self, done: Iterable[str], name: str, graph: QueryGraph) -> list[SparkColumn]:
         """Equalities of a relation's variables with holders among the relations joined already."""

@@ -50,3 +50,20 @@ def collect_stats(df: DataFrame, fraction: float = 0.01, seed: int = 7) -> Relat
     r = quoted.agg(*aggs).first()
     distinct = {c: r[f"d{k}"] for k, c in enumerate(df.columns) if _countable(kinds[k])}
     return RelationStats(r["rows"], r["bytes"], distinct, {c: r[f"n{k}"] for k, c in enumerate(df.columns)}, fraction, df.sample(False, fraction, seed))
+
+
+_PLAIN = frozenset("Project Filter LogicalRelation LogicalRDD LocalRelation Range SubqueryAlias View InMemoryRelation HiveTableRelation DataSourceV2Relation DataSourceV2ScanRelation RelationV2".split())
+
+
+def derived(df: DataFrame) -> bool:
+    """Whether reading df takes more than a scan: a join, an aggregate, a sort and the like."""
+
+    def plain(node) -> bool:
+        return node.getClass().getSimpleName() in _PLAIN and all(plain(node.children().apply(k)) for k in range(node.children().size()))
+
+    return not plain(df._jdf.queryExecution().analyzed())
+
+
+def row_bytes(df: DataFrame) -> int:
+    """A row's bytes as a plan estimates them before reading any."""
+    return 8 + sum(20 if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) else 8 for f in df.schema.fields)

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from manyfold.engine import Engine
 from manyfold.operators.binary import join
-from manyfold.plans.planner import BreadthFirst, Planner, left_deep
+from manyfold.plans.cost import SampleEstimator
+from manyfold.plans.planner import BreadthFirst, ByDistinct, LinearProgram, Planner, left_deep
 from manyfold.plans.query import MultiJoin
-from manyfold.plans.stats import collect_stats
+from manyfold.plans.stats import RSD, collect_stats
 
 _BUYS = "SELECT DISTINCT o_custkey AS b_custkey, l_suppkey AS b_suppkey FROM orders, lineitem WHERE o_orderkey = l_orderkey"
-_EDGES = "SELECT DISTINCT x.l_partkey AS p, y.l_partkey AS q FROM lineitem x, lineitem y WHERE x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey AND x.l_quantity >= 30 AND y.l_quantity >= 30"
+_EDGES = "SELECT DISTINCT x.l_partkey AS p, y.l_partkey AS q FROM lineitem x, lineitem y WHERE x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey"
+_NULLED = "SELECT nullif(n_nationkey, 7) AS key, n_nationkey AS home FROM nation"
+# keys that are equal without having equal bytes: 0.0 and -0.0
+_QUANTITIES = "SELECT l_orderkey, l_linenumber, cast(l_linenumber - 2 AS double) AS quantity FROM lineitem"
+_SIZES = "SELECT n_nationkey AS kind, -0.5 * cast(n_regionkey - n_regionkey % 2 AS double) AS size FROM nation"
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -26,8 +31,11 @@ class JoinQuery:
     relations: dict[str, str]
     predicates: tuple[str, ...]
     output: dict[str, str]
+    given_sql: str | None = None
 
     def sql(self) -> str:
+        if self.given_sql:
+            return self.given_sql
         source = ", ".join(f"{'(' + t + ')' if ' ' in t else t} {a}" for a, t in self.relations.items())
         columns = ", ".join(f"{e} AS {n}" for n, e in self.output.items())
         return f"SELECT {columns} FROM {source} WHERE {' AND '.join(self.predicates)}"
@@ -53,10 +61,16 @@ def _source(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         pairs = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
         return pairs.select(F.col("o_custkey").alias("b_custkey"), F.col("l_suppkey").alias("b_suppkey")).distinct()
     if text == _EDGES:
-        lines = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 30").select("l_orderkey", "l_partkey")
+        lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
         x, y = lines.alias("x"), lines.alias("y")
         near = x.join(y, (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("x.l_partkey") < F.col("y.l_partkey")))
         return near.select(F.col("x.l_partkey").alias("p"), F.col("y.l_partkey").alias("q")).distinct()
+    if text == _NULLED:
+        return _table(spark, sf_dir, "nation").select(F.expr("nullif(n_nationkey, 7)").alias("key"), F.col("n_nationkey").alias("home"))
+    if text == _QUANTITIES:
+        return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(l_linenumber - 2 AS double)").alias("quantity"))
+    if text == _SIZES:  # a double product with -0.5 makes -0.0 of 0
+        return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("kind"), F.expr("-0.5D * cast(n_regionkey - n_regionkey % 2 AS double)").alias("size"))
     return _table(spark, sf_dir, text)
 
 
@@ -85,6 +99,9 @@ JOINS: dict[str, JoinQuery] = {
         {"ab": _EDGES, "ac": _EDGES, "ad": _EDGES, "bc": _EDGES, "bd": _EDGES, "cd": _EDGES},
         ("ab.p = ac.p", "ab.p = ad.p", "ab.q = bc.p", "ab.q = bd.p", "ac.q = bc.q", "ac.q = cd.p", "ad.q = bd.q", "ad.q = cd.q"),
         {"a": "ab.p", "b": "ab.q", "c": "ac.q", "d": "ad.q"},
+        # the same join in two steps, triangles first
+        f"WITH e AS MATERIALIZED ({_EDGES}), t AS MATERIALIZED (SELECT ab.p AS a, ab.q AS b, ac.q AS c FROM e ab, e ac, e bc WHERE ab.p = ac.p AND ab.q = bc.p AND ac.q = bc.q) "
+        "SELECT t.a, t.b, t.c, ad.q AS d FROM t, e ad, e bd, e cd WHERE ad.p = t.a AND bd.p = t.b AND cd.p = t.c AND ad.q = bd.q AND ad.q = cd.q",
     ),
     "cycle_tails": JoinQuery(
         {**_CYCLE_IN, "n": "nation", "r": "region", "p": "part"},
@@ -103,7 +120,7 @@ JOINS: dict[str, JoinQuery] = {
     ),
     "self_join": JoinQuery(
         {"x": "customer", "y": "customer", "s": "supplier"},
-        ("x.c_nationkey = y.c_nationkey", "x.c_nationkey = s.s_nationkey", "x.c_mktsegment = y.c_mktsegment", "x.c_custkey < y.c_custkey", "x.c_acctbal > 9000", "y.c_acctbal > 9000"),
+        ("x.c_nationkey = y.c_nationkey", "x.c_nationkey = s.s_nationkey", "x.c_mktsegment = y.c_mktsegment", "x.c_custkey < y.c_custkey"),
         {"x_custkey": "x.c_custkey", "y_custkey": "y.c_custkey", "suppkey": "s.s_suppkey"},
     ),
     "empty_side": JoinQuery(
@@ -121,9 +138,24 @@ JOINS: dict[str, JoinQuery] = {
         ("c.c_custkey = o.o_custkey", "c.c_nationkey = n.n_nationkey", "c.c_acctbal + n.n_regionkey > o.o_totalprice / 10"),
         {"custkey": "c.c_custkey", "orderkey": "o.o_orderkey", "nation": "n.n_name"},
     ),
+    "null_safe_keys": JoinQuery(
+        {"c": "customer", "n": _NULLED, "s": "supplier"},
+        ("nullif(c.c_nationkey, 3) IS NOT DISTINCT FROM n.key", "n.home = s.s_nationkey"),
+        {"custkey": "c.c_custkey", "key": "n.key", "suppkey": "s.s_suppkey"},
+    ),
+    "expression_keys": JoinQuery(
+        {"c": "customer", "n": "nation", "r": "region"},
+        ("c.c_nationkey + 1 = n.n_nationkey", "n.n_regionkey = 4 - r.r_regionkey"),
+        {"custkey": "c.c_custkey", "nation": "n.n_name", "region": "r.r_name"},
+    ),
+    "float_keys": JoinQuery(
+        {"l": _QUANTITIES, "p": _SIZES, "n": "nation"},
+        ("l.quantity = p.size", "p.kind = n.n_nationkey"),
+        {"orderkey": "l.l_orderkey", "linenumber": "l.l_linenumber", "size": "p.size + 0.0", "nation": "n.n_name"},
+    ),
     "disconnected": JoinQuery(
         {"r": "region", "n": "nation", "m": "nation"},
-        ("r.r_regionkey = n.n_regionkey", "m.n_nationkey < 5"),
+        ("r.r_regionkey = n.n_regionkey",),
         {"region": "r.r_name", "nation": "n.n_name", "other": "m.n_name"},
     ),
 }
@@ -182,31 +214,50 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the planner knows of each table: rows, bytes and approximate distinct values of its columns."""
+    """What the planner knows of each column of each table: rows, nulls, and whether the approximate number of distinct
+    values is within four standard deviations of the exact one."""
     rows = []
     for name in _TABLES:
-        s = collect_stats(_table(spark, sf_dir, name))
-        rows.extend((name, c, s.rows, s.size_bytes, d) for c, d in s.distinct.items())
-    return spark.createDataFrame(rows, "relation string, column string, n_rows long, size_bytes long, n_distinct long")
+        df = _table(spark, sf_dir, name)
+        s = collect_stats(df)
+        exact = df.agg(*(F.count_distinct(c).alias(c) for c in s.distinct)).first()
+        rows.extend((name, c, s.rows, s.nulls[c], abs(d - exact[c]) <= 4 * RSD * exact[c]) for c, d in s.distinct.items())
+    return spark.createDataFrame(rows, "relation string, column string, n_rows long, n_nulls long, distinct_is_near boolean")
 
 
 def _sampled_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the chain as the sample estimator sees them."""
-    from manyfold.plans.cost import SampleEstimator
-
+    """Rows of the chain, and whether the sample estimator's figure is within a quarter of them."""
     q = JOINS["chain"]
     query = MultiJoin.build({a: _source(spark, sf_dir, t) for a, t in q.relations.items()}, q.predicates)
     stats = {a: collect_stats(df, 0.5) for a, df in query.relations.items()}
     estimate = SampleEstimator().join_rows(query, query.graph(), stats, list(query.relations))
-    return spark.createDataFrame([("chain", float(estimate))], "query string, estimate double")
+    rows = left_deep(query).agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.select(F.lit("chain").alias("query"), "n_rows", (F.abs(F.lit(float(estimate)) - F.col("n_rows")) <= F.col("n_rows") / 4).alias("estimate_is_near"))
+
+
+_CYCLE_SQL = f"{', '.join(f'{t} {a}' for a, t in _CYCLE_IN.items())} WHERE {' AND '.join(_CYCLE)}"
+#: The four-cycle below other clauses of SQL.
+TEXTS = {
+    "cycle4_sql": JOINS["cycle4"].sql(),
+    "cycle4_order_limit": f"SELECT o.o_orderkey AS orderkey, l.l_linenumber AS linenumber, c.c_custkey AS custkey FROM {_CYCLE_SQL} ORDER BY orderkey DESC, linenumber LIMIT 100",
+    "cycle4_distinct": f"SELECT DISTINCT c.c_nationkey AS nationkey, l.l_linenumber AS linenumber FROM {_CYCLE_SQL}",
+    "cycle4_having": f"SELECT c.c_custkey AS custkey, count(*) AS n, max(l.l_linenumber) AS last_line FROM {_CYCLE_SQL} GROUP BY c.c_custkey HAVING count(DISTINCT s.s_suppkey) > 1",
+    "cycle4_with": f"WITH t AS (SELECT s.s_suppkey AS suppkey, c.c_nationkey AS nationkey, o.o_orderkey AS orderkey FROM {_CYCLE_SQL}), u AS (SELECT suppkey, count(*) AS n FROM t GROUP BY suppkey) SELECT t.orderkey, t.suppkey, u.n, n_name AS nation FROM t JOIN u ON t.suppkey = u.suppkey JOIN nation ON n_nationkey = t.nationkey",
+    "cycle4_derived": f"SELECT q.custkey, n.n_name AS nation, q.n FROM (SELECT c.c_custkey AS custkey, c.c_nationkey AS nationkey, count(*) AS n FROM {_CYCLE_SQL} GROUP BY c.c_custkey, c.c_nationkey) q LEFT JOIN nation n ON n.n_nationkey = q.nationkey AND q.n > 1",
+    "cycle4_union": f"SELECT c.c_custkey AS k, 'cycle' AS side FROM {_CYCLE_SQL} UNION SELECT s_suppkey AS k, 'supplier' AS side FROM supplier",
+    "cycle4_exists": f"SELECT o.o_orderkey AS orderkey, l.l_linenumber AS linenumber FROM {_CYCLE_SQL} AND EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = c.c_nationkey AND n.n_regionkey > 1)",
+    "cycle4_window": f"SELECT o.o_orderkey AS orderkey, l.l_linenumber AS linenumber, row_number() OVER (PARTITION BY c.c_nationkey ORDER BY o.o_orderkey, l.l_linenumber) AS place FROM {_CYCLE_SQL}",
+}
 
 
-def _view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four-cycle as SQL text over registered tables, in mixed mode."""
-    engine = Engine(spark, Planner(mode="mixed", cells=max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    for t in ("lineitem", "orders", "customer", "supplier"):
-        engine.register(t, _table(spark, sf_dir, t))
-    return engine.sql(JOINS["cycle4"].sql())
+def _text(text: str, **planner) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark, Planner(cells=max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), **planner))
+        for t in ("lineitem", "orders", "customer", "supplier", "nation"):
+            engine.register(t, _table(spark, sf_dir, t))
+        return engine.sql(text)
+
+    return query
 
 
 def _left_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +278,18 @@ def _build() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[
             queries[form], oracles[form] = run, q.sql()
     for name, (run, sql) in PAIRS.items():
         queries[name], oracles[name] = run, sql
-    queries["cycle4_sql"], oracles["cycle4_sql"] = _view_sql, JOINS["cycle4"].sql()
+    for name, text in TEXTS.items():
+        queries[name], oracles[name] = _text(text, mode="mixed"), text
+        queries[f"{name}_one_round"], oracles[f"{name}_one_round"] = _text(text, mode="one-round"), text
+    strategies = {
+        "cycle4_lp_shares": {"mode": "one-round", "one_round": LinearProgram()},
+        "cycle4_distinct_variables": {"mode": "one-round", "local": "leapfrog", "variables": ByDistinct()},
+        "cycle4_sample_sizes": {"mode": "core", "bias": 0.5, "estimator": SampleEstimator()},
+        "cycle4_breadth_first": {"mode": "mixed", "bias": 0.5, "multi_round": BreadthFirst()},
+    }
+    for name, planner in strategies.items():
+        queries[name], oracles[name] = JOINS["cycle4"].run(**planner), JOINS["cycle4"].sql()
+    queries["float_keys_leapfrog"], oracles["float_keys_leapfrog"] = JOINS["float_keys"].run("one-round", local="leapfrog"), JOINS["float_keys"].sql()
     queries["left_deep_hints"], oracles["left_deep_hints"] = _left_deep, JOINS["cycle_tails"].sql()
     queries["key_counts"] = _counts
     oracles["key_counts"] = " UNION ALL ".join(
@@ -235,7 +297,11 @@ def _build() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[
         for t, k in (("customer", "c_nationkey"), ("orders", "o_custkey"), ("lineitem", "l_suppkey"))
     )
     queries["column_statistics"] = _statistics
+    oracles["column_statistics"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS relation, k AS \"column\", (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM {t}) - n AS n_nulls, true AS distinct_is_near FROM (SELECT count(COLUMNS(*)) FROM {t}) UNPIVOT INCLUDE NULLS (n FOR k IN (*))" for t in _TABLES
+    )
     queries["sampled_join_estimate"] = _sampled_estimate
+    oracles["sampled_join_estimate"] = f"SELECT 'chain' AS query, count(*) AS n_rows, true AS estimate_is_near FROM ({JOINS['chain'].sql()})"
     return queries, oracles
 
 

@@ -74,9 +74,43 @@ def test_other_shapes(spark, engine, mode, more, text):
     assert rows(engine.with_mode(mode, **more).sql(text)) == rows(spark.sql(text))
 
 
+CYCLE = "a, b, c WHERE a.x = b.x AND b.y = c.y AND c.z = a.z"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"SELECT a.x, b.y FROM {CYCLE} ORDER BY a.x DESC, c.z, b.y LIMIT 5",
+        f"SELECT DISTINCT a.x FROM {CYCLE}",
+        f"SELECT a.x, count(*) AS n FROM {CYCLE} GROUP BY a.x HAVING max(b.y) > 1 AND count(*) > 2",
+        f"SELECT x, sum(b.y) AS s FROM (SELECT 1 AS one) o, {CYCLE.replace('c.z = a.z', 'c.z = a.z AND a.x > 0').replace('a.x', 'a.x')} GROUP BY 1 ORDER BY s".replace("SELECT x", "SELECT a.x"),
+        f"WITH t AS (SELECT a.x, c.z FROM {CYCLE}) SELECT t.x, d.s FROM t JOIN d ON t.z = d.z",
+        f"WITH t(p, q) AS (SELECT a.x, c.z FROM {CYCLE}), u AS (SELECT p, count(*) AS n FROM t GROUP BY p) SELECT t.q, u.n, g.s FROM t, u, g WHERE t.p = u.p AND u.p = g.s",
+        f"SELECT q.x, al.x AS y FROM (SELECT a.x FROM {CYCLE}) q LEFT JOIN al ON q.x = al.x + 1",
+        f"SELECT a.x FROM {CYCLE} UNION ALL SELECT al.x FROM al UNION SELECT b.y FROM {CYCLE}",
+        f"SELECT * FROM {CYCLE} AND a.x IN (SELECT x FROM al WHERE al.x > 1) AND EXISTS (SELECT 1 FROM g WHERE g.s = a.x)",
+        f"SELECT a.*, row_number() OVER (PARTITION BY a.x ORDER BY b.y, c.z) AS r FROM {CYCLE}",
+        f"SELECT a.x, z.s FROM a JOIN b ON a.x = b.x JOIN c ON b.y = c.y LEFT JOIN (SELECT s, z AS k FROM d) z ON z.k = a.x WHERE c.z = a.z",
+        f"SELECT y, count(*) AS n FROM {CYCLE.replace('a.x = b.x', 'a.x <=> b.x')} GROUP BY ALL".replace("SELECT y", "SELECT b.y"),
+        "SELECT a.x, s FROM a, b, g WHERE a.x + 1 = b.x AND b.y * 2 = s",
+        f"SELECT `a`.`x` AS `odd name`, CASE WHEN b.y > 1 THEN 'p' ELSE 'q' END AS k FROM {CYCLE} SORT BY k".replace(" SORT BY k", ""),
+        f"SELECT (SELECT max(x) FROM al) AS top, count(*) FROM {CYCLE}",
+        f"SELECT x FROM al EXCEPT SELECT a.x FROM {CYCLE} AND a.x < 3",
+    ],
+)
+def test_joins_anywhere_in_sql(spark, engine, text):
+    own = engine.with_mode("mixed", bias=1e-9)
+    got = own.sql(text)
+    assert own.planner.decisions
+    assert got.columns == spark.sql(text).columns and rows(got) == rows(spark.sql(text))
+
+
 def test_sql_that_is_sparks_own(spark, engine):
     mixed = engine.with_mode("mixed")
-    for text in ("SELECT a.x, count(*) OVER () AS n FROM a, b, c WHERE a.x = b.x AND b.y = c.y", "SELECT a.x FROM a LEFT JOIN b ON a.x = b.x", "SELECT x, count(*) AS n FROM a GROUP BY x ORDER BY x", "SELECT a.x FROM a, b, c WHERE a.x IN (SELECT x FROM al) AND a.x = b.x AND b.y = c.y"):
+    for text in (
+        "SELECT /*+ BROADCAST(a) */ a.x FROM a, b, c WHERE a.x = b.x AND b.y = c.y",
+        "WITH r AS (SELECT rand() AS v) SELECT a.x FROM a, b, c, r, r s WHERE a.x = b.x AND b.y = c.y AND r.v = s.v AND r.v < 0",
+        "SELECT a.x FROM a JOIN b USING (x) JOIN c USING (y)","SELECT a.x, count(*) OVER () AS n FROM a, b, c WHERE a.x = b.x AND b.y = c.y", "SELECT a.x FROM a LEFT JOIN b ON a.x = b.x", "SELECT x, count(*) AS n FROM a GROUP BY x ORDER BY x", "SELECT a.x FROM a, b, c WHERE a.x IN (SELECT x FROM al) AND a.x = b.x AND b.y = c.y"):
         assert rows(mixed.sql(text)) == rows(spark.sql(text))
 
 
@@ -94,6 +128,64 @@ def test_nulls_duplicates_types(spark):
         assert rows(got) == want, mode
 
 
+def test_keys_that_differ_in_bytes(spark):
+    nan = float("nan")
+    a = spark.createDataFrame([(0.0, "A"), (-0.0, "b"), (nan, "C"), (1.5, None)], "d double, s string").selectExpr("d", "s COLLATE UTF8_LCASE AS s")
+    b = spark.createDataFrame([(-0.0, 1), (0.0, 2), (nan, 3), (2.5, 4)], "f float, k int")
+    c = spark.createDataFrame([("a", 1), ("B", 2), ("c", 3), ("x", 1)], "s string, k int").selectExpr("s COLLATE UTF8_LCASE AS s", "k")
+    frames = {"a": a, "b": b, "c": c}
+    for predicates in (["a.d = b.f", "b.k = c.k"], ["a.d = b.f", "b.k = c.k", "a.s = c.s"]):
+        got = {}
+        for mode, more in PLANS:
+            got[mode, str(more)] = rows(Engine(spark, Planner(mode=mode, cells=6, **more)).join(frames, predicates, [("a.d + 0.0", "d"), ("b.k", "k"), ("upper(a.s)", "s")]))
+        assert len({str(g) for g in got.values()}) == 1 and len(got["default", "{}"]) == (7 if len(predicates) == 2 else 3)
+
+
+def test_null_safe_and_expression_keys_are_variables(spark):
+    a = spark.createDataFrame([(1, "p"), (None, "q"), (0, "r"), (2, None)], "k int, s string")
+    b = spark.createDataFrame([(1, 10), (None, 20), (0, 30), (7, None)], "k long, v int")
+    c = spark.createDataFrame([("P", 11), ("Q", None), ("R", 31), (None, 21)], "t string, w int")
+    for name, df in {"sa": a, "sb": b, "sc": c}.items():
+        df.createOrReplaceTempView(name)
+    predicates = ["sa.k <=> sb.k", "upper(sa.s) = sc.t", "sb.v + 1 <=> sc.w"]
+    want = rows(spark.sql(f"SELECT sa.*, sb.v, sc.w FROM sa, sb, sc WHERE {' AND '.join(predicates)}"))
+    assert len(want) == 2
+    query = MultiJoin.build({"sa": a, "sb": b, "sc": c}, predicates)
+    assert len(query.equalities) == 5 and not query.residual
+    for mode, more in PLANS:
+        e = Engine(spark, Planner(mode=mode, cells=6, **more))
+        assert rows(e.join({"sa": a, "sb": b, "sc": c}, predicates, [("sa.k", "k"), ("sa.s", "s"), ("sb.v", "v"), ("sc.w", "w")])) == want, mode
+        whole = e.join({"sa": a, "sb": b, "sc": c}, predicates)
+        assert whole.columns == ["sa_k", "sa_s", "sb_k", "sb_v", "sc_t", "sc_w"]
+
+
+def test_strategies_and_settings(spark, engine):
+    settings = {"mode": "one-round", "local": "leapfrog", "cells": "8", "shares": "linear-program", "variables": "distinct", "rounds": "breadth-first", "sizes": "sample"}
+    for k, v in settings.items():
+        spark.conf.set(f"manyfold.{k}", v)
+    try:
+        own = Engine(spark)
+    finally:
+        for k in settings:
+            spark.conf.unset(f"manyfold.{k}")
+    own.tables = engine.tables
+    kinds = [type(s).__name__ for s in (own.planner.one_round, own.planner.variables, own.planner.multi_round, own.planner.estimator)]
+    assert kinds == ["LinearProgram", "ByDistinct", "BreadthFirst", "SampleEstimator"]
+    assert rows(own.sql(TRIANGLE)) == rows(spark.sql(TRIANGLE)) and "shares (2, 2, 2)" in own.planner.decisions[0]
+    small = engine.with_mode("one-round", local="leapfrog", leapfrog_rows=1)
+    assert rows(small.sql(TRIANGLE)) == rows(spark.sql(TRIANGLE)) and any("too large for leapfrog" in d for d in small.planner.decisions)
+
+
+def test_statistics_once_for_equal_inputs(spark):
+    edges = spark.range(600).selectExpr("id % 30 AS p", "id % 41 AS q").distinct()
+    planner = Planner(mode="mixed", cells=4, bias=0.5)
+    query = MultiJoin.build({"x": edges, "y": edges.select("*"), "z": edges}, ["x.q = y.p", "y.q = z.p", "z.q = x.p"])
+    seen = planner._statistics(query, query.graph(), None)
+    assert seen["x"] is seen["z"] and len({id(s) for s in seen.values()}) <= 2 and planner.kept
+    planner.release()
+    assert not planner.kept
+
+
 def test_unlike_key_types_stay_correct(spark):
     a, b, c = (spark.createDataFrame(r, s) for r, s in (([(1, "1"), (2, "x")], "i int, s string"), ([(1.0,), (2.5,)], "d double"), ([("1",), ("01",)], "t string")))
     q = MultiJoin.build({"a": a, "b": b, "c": c}, ["a.i = b.d", "a.i = c.t"])
@@ -128,7 +220,7 @@ def test_pruned_columns_and_no_extra_exchange(spark, engine):
     frames = {n: engine.tables.frame(n) for n in "abc"}
     df = Planner(mode="one-round", cells=8).plan(MultiJoin.build(frames, ["a.x = b.x", "b.y = c.y", "c.z = a.z"], [("a.x", "x")]))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("Exchange ") == 3 and plan.count("shufflepartitionidpassthrough") == 3
 
 
 def brute(keys, sizes, order):
@@ -176,6 +268,10 @@ def test_two_way_without_keys_and_existence(spark):
     for bad in ({"how": "full", "strategy": "broadcast"}, {"how": "left", "strategy": "broadcast", "build": "left"}, {"how": "odd"}, {"strategy": "odd"}, {"how": "left", "strategy": "cartesian"}):
         with pytest.raises(ValueError):
             join(left, right, **bad)
+    odd = join(left, right, [("a", "b")], "existence", condition="a > 0")
+    plan = odd._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExistenceJoin" in plan and sorted(odd.collect()) == [(0, False), (1, True), (2, True), (3, False)]
+    assert sorted(join(left, right, [("a", "b")], "existence", condition=F.col("l.a") > 0).collect()) == sorted(odd.collect())
     big = join(left, right, [("a", "b")], strategy="broadcast", broadcast_limit=0)
     assert big.count() == 3
 
