@@ -16,7 +16,7 @@ from manyfold.queries import QUERIES
 
 HEADLINE = (
     "chain", "star", "cycle4", "cycle4_mixed", "cycle4_one_round", "cycle4_leapfrog", "triangle", "triangle_mixed", "triangle_one_round",
-    "cycle_tails", "cycle_tails_mixed", "clique4", "clique4_mixed", "clique4_leapfrog", "residual", "composite", "self_join", "join_full", "join_semi", "join_null_safe",
+    "cycle_tails", "cycle_tails_mixed", "cycle4_order_limit", "cycle4_with", "residual", "composite", "self_join", "join_full", "join_semi", "join_null_safe",
 )
 RUNS = 2
 
