@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from manyfold.llm.bpe import bpe_encode
-from manyfold.llm.common import given_id, table, written
+from manyfold.llm.common import given_id, remove_written, table, tables_written, written
 from manyfold.llm.decontaminate import drop_leaks
 from manyfold.llm.exact_dedup import drop_copies
 from manyfold.llm.near_dedup import drop_near_copies
@@ -55,13 +55,18 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Learnt scores, LSH and BPE are beyond SQL; the tests hold each stage against a brute-force version.
+#: Learnt scores, LSH and BPE are beyond SQL. The tests hold the dedup, decontamination and encoding stages against brute
+#: force and the toxicity stage against the labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written in between."""
+    """All stages over documents. A stage's rows are written before the next one reads them; what else the stage wrote, and
+    the rows that it read, are removed then. The last stage's tables stay, as its rows are read later."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        began = tables_written()
+        kept = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_written(spark, max(began - 1, 0) if name != STAGES[0][0] else began, tables_written() - 1)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
