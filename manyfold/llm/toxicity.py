@@ -98,18 +98,21 @@ def inputs(votes: np.ndarray, lexicon: int) -> np.ndarray:
     return np.column_stack([votes, many > 0, np.minimum(many, 4) / 4, np.ones(len(votes))]).astype(float)
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray:
-    """Posterior probability of the hidden label for each row of 0/1 votes.
-
-    A voter that doesn't fire abstains, which tells nothing; that no voter fires at all is a voter of its own, against.
-    The others are taken to be better than chance (they fire at least three times as often on their side). Two passes
-    of expectation-maximisation, starting from "some vote": the first takes voters as independent given the label. From
-    its posteriors come the correlations within each side; a voter then counts 1 / (1 + sum of its positive
+def label_model(votes: np.ndarray, lexicon: int, prior: float, rounds: int = 30) -> np.ndarray:
+    """Posterior probability of the hidden label for each row of 0/1 votes: lexicon ones first, then patterns.
+
+    A voter that doesn't fire abstains, which tells nothing; that no lexicon voter fires at all is a voter of its own,
+    against. Lexicon voters are taken to be better than chance (they fire at least three times as often on their side);
+    a pattern's evidence is as estimated, for either side or none. Two passes of expectation-maximisation, starting from
+    "some lexicon vote", with the share of toxic rows given (prior): the first takes voters as independent given the
+    label. From its posteriors come the correlations within each side; a voter then counts 1 / (1 + sum of its positive
     correlations with the others), averaged over the sides, in the second pass.
     """
-    x = np.column_stack([votes, votes.sum(1) == 0]).astype(float)
-    n, m = x.shape
+    x = np.column_stack([votes, votes[:, :lexicon].sum(1) == 0]).astype(float)
+    m = x.shape[1]
     share = np.ones(m)
+    pi = np.clip(prior, 1e-4, 1 - 1e-4)
+    odds = np.log(pi / (1 - pi))
     start = np.where(x[:, -1] == 0, 0.95, 0.02)
     base = x.mean(0)
     for _ in range(2):
@@ -118,10 +121,9 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray
             weight = posterior.sum(), (1 - posterior).sum()
             fire = [np.clip((x.T @ p + 2 * base) / (w + 2), 1e-6, 1 - 1e-6) for p, w in zip((posterior, 1 - posterior), weight, strict=True)]
             evidence = np.log(fire[0] / fire[1])
-            evidence[:-1] = np.maximum(evidence[:-1], np.log(3))
+            evidence[:lexicon] = np.maximum(evidence[:lexicon], np.log(3))
             evidence[-1] = min(evidence[-1], -np.log(3))
-            pi = np.clip(weight[0] / max(n, 1), prior / 4, 1 - 1e-4)
-            new = logistic(np.log(pi / (1 - pi)) + x @ (share * evidence))
+            new = logistic(odds + x @ (share * evidence))
             done = np.abs(new - posterior).max(initial=0) < 1e-6
             posterior = new
             if done:
@@ -227,7 +229,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_
     votes = np.column_stack([votes[:, keep], votes[:, len(model.feature) :]])
     model.only(keep)
     prior = toxic_docs / (toxic_docs + clean_docs)
-    posterior = label_model(votes[:, : len(keep)], prior) if len(keep) else np.full(len(votes), prior)
+    posterior = label_model(votes, len(keep), prior) if len(keep) else np.full(len(votes), prior)
     model.weights = train_logistic(inputs(votes, len(keep)), posterior)
     return model
 

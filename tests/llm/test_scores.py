@@ -131,13 +131,26 @@ def test_label_model_finds_the_hidden_label():
     rates = [(0.6, 0.02), (0.5, 0.01), (0.3, 0.01), (0.4, 0.03)]
     votes = np.column_stack([rng.random(3000) < np.where(truth, a, b) for a, b in rates])
     votes = np.column_stack([votes, votes[:, 0], votes[:, 0]])  # copies of a voter add nothing
-    p = label_model(votes, 0.2)
+    p = label_model(votes, votes.shape[1], 0.2)
     some = votes.any(1)
     assert p[truth & some].mean() > 0.7 and p[~truth].mean() < 0.15 and p[~some].max(initial=0) < 0.3
     w = train_logistic(np.column_stack([votes, np.ones(3000)]).astype(float), p)
     assert (w[:-1] > 0).all()
 
 
+def test_patterns_enter_the_label_model():
+    rng = np.random.default_rng(4)
+    truth = rng.random(4000) < 0.2
+    lexicon = np.column_stack([rng.random(4000) < np.where(truth, a, b) for a, b in [(0.5, 0.01), (0.4, 0.01), (0.4, 0.02)]])
+    telling = rng.random(4000) < np.where(truth, 0.6, 0.05)
+    idle = rng.random((4000, 5)) < 0.1
+    alone = label_model(lexicon, 3, 0.2)
+    p = label_model(np.column_stack([lexicon, telling]), 3, 0.2)
+    assert p[truth & telling].mean() > alone[truth & telling].mean() and p[~truth].mean() < 0.15
+    q = label_model(np.column_stack([lexicon, idle]), 3, 0.2)  # patterns that tell nothing change little
+    assert np.mean((q >= 0.3) == (alone >= 0.3)) > 0.99
+
+
 def test_distinct_voters():
     votes = np.array([[1, 1, 0], [1, 1, 0], [1, 1, 1], [0, 1, 1], [0, 1, 0], [0, 0, 1]])
     toxic = np.array([True, True, True, False, False, True])
