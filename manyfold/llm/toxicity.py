@@ -103,7 +103,7 @@ def label_model(votes: np.ndarray, lexicon: int, prior: float, rounds: int = 30)
 
     A voter that doesn't fire abstains, which tells nothing; that no lexicon voter fires at all is a voter of its own,
     against. Lexicon voters are taken to be better than chance (they fire at least three times as often on their side);
-    a pattern's evidence is as estimated, for either side or none. Two passes of expectation-maximisation, starting from
+    a pattern's evidence is for either side, less two standard errors of it, or none. Two passes of expectation-maximisation, starting from
     "some lexicon vote", with the share of toxic rows given (prior): the first takes voters as independent given the
     label. From its posteriors come the correlations within each side; a voter then counts 1 / (1 + sum of its positive
     correlations with the others), averaged over the sides, in the second pass.
@@ -123,6 +123,8 @@ def label_model(votes: np.ndarray, lexicon: int, prior: float, rounds: int = 30)
             evidence = np.log(fire[0] / fire[1])
             evidence[:lexicon] = np.maximum(evidence[:lexicon], np.log(3))
             evidence[-1] = min(evidence[-1], -np.log(3))
+            error = np.sqrt(sum((1 - f) / (f * w + 1) for f, w in zip(fire, weight, strict=True)))[lexicon:-1]
+            evidence[lexicon:-1] = np.sign(evidence[lexicon:-1]) * np.maximum(np.abs(evidence[lexicon:-1]) - 2 * error, 0)
             new = logistic(odds + x @ (share * evidence))
             done = np.abs(new - posterior).max(initial=0) < 1e-6
             posterior = new
