@@ -9,6 +9,7 @@ import __spark_entry__ as contract
 from manyfold.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.1"  # for plans only
 here = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 
 
@@ -39,3 +40,21 @@ def test_against_duckdb(spark, name):
 @here
 def test_statistics_of_every_table(spark):
     assert "events" in {r.relation for r in QUERIES["column_statistics"](spark, SMALL).collect()}
+
+
+def joins_of_nations_alone(df):
+    """Joins of customers and suppliers by their nation with no other condition: each customer meets every supplier there."""
+    lines = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x and "c_nationkey" in x and "s_nationkey" in x]
+    assert lines
+    return [x for x in lines if "custkey" not in x and "suppkey" not in x]
+
+
+@here
+@pytest.mark.parametrize("name", ["cycle4_derived"])
+def test_chains_close_cycles_instead_of_multiplying_rows(spark, name):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not joins_of_nations_alone(QUERIES[name](spark, LARGER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
