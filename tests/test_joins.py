@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from manyfold.engine import Engine
 from manyfold.operators.binary import join
-from manyfold.operators.hypercube import CELL, routed
-from manyfold.operators.leapfrog import matches
+from manyfold.operators.hypercube import CELL, largest_cell, routed
+from manyfold.operators.leapfrog import matches, matches_by_block
 from manyfold.plans.cost import SampleEstimator
-from manyfold.plans.planner import Planner
+from manyfold.plans.graph import QueryGraph
+from manyfold.plans.planner import ByDistinct, Planner
 from manyfold.plans.query import MultiJoin
-from manyfold.plans.stats import collect_stats
+from manyfold.plans.stats import RelationStats, collect_stats
 
 ROWS = [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2)]
 TWO = {"a": "xz", "b": "xy", "c": "yz", "d": "sz", "da": "zp", "e": "sx", "ea": "pq", "f": "sy", "fa": "qs", "h": "yr", "i": "rw"}
@@ -292,3 +293,46 @@ def test_sampled_estimate(spark):
     q = MultiJoin.build({"a": a, "b": b}, ["a.x = b.x"])
     stats = {"a": collect_stats(a, 0.5), "b": collect_stats(b, 0.5)}
     assert 5000 < SampleEstimator().join_rows(q, q.graph(), stats, ["a", "b"]) < 12000
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.data())
+def test_leapfrog_in_blocks_is_the_same(data):
+    shape = {"a": (0, 1), "b": (1, 2), "c": (2, 0), "d": (1,)}
+    sizes = {r: data.draw(st.integers(0, 6)) for r in shape}
+    keys = {r: {v: np.array(data.draw(st.lists(st.integers(0, 2), min_size=sizes[r], max_size=sizes[r])), np.int64) for v in vs} for r, vs in shape.items()}
+    blocks = list(matches_by_block(keys, sizes, [2, 0, 1], block=data.draw(st.integers(1, 5))))
+    assert sorted(x for b in blocks for x in zip(*(b[r].tolist() for r in shape), strict=True)) == brute(keys, sizes, [0, 1, 2])
+
+
+def test_leapfrog_holds_a_block_of_bindings_at_once():
+    n = 300  # every value of one variable with every one of the other: 90,000 bindings before the last variable decides
+    keys = {"a": {0: np.arange(n)}, "b": {1: np.arange(n)}, "c": {0: np.arange(n), 1: np.arange(n)[::-1].copy()}}
+    blocks = list(matches_by_block(keys, {r: n for r in keys}, [0, 1], block=50))
+    assert sum(len(b["a"]) for b in blocks) == n and max(len(b["a"]) for b in blocks) <= 50
+
+
+def test_variables_by_distinct_values_keep_bindings_few():
+    """In the four-cycle, customers and suppliers of a nation are tied together by orders and their lines only."""
+    names = {"l": ("o", "s"), "o": ("o", "c"), "c": ("c", "n"), "s": ("n", "s")}
+    distinct = {"o": 9_000_000, "c": 900_000, "n": 25, "s": 60_000}
+    rows = {"l": 36_000_000, "o": 9_000_000, "c": 900_000, "s": 60_000}
+    graph = QueryGraph.build(names, [(("l", "o"), ("o", "o")), (("o", "c"), ("c", "c")), (("c", "n"), ("s", "n")), (("s", "s"), ("l", "s"))])
+    order = ByDistinct().order(graph, {r: RelationStats(rows[r], 0, {c: distinct[c] for c in names[r]}, {}) for r in names})
+    assert [graph.classes[v][0][1] for v in order] == ["n", "s", "o", "c"]
+
+
+def test_cells_are_counted_before_leapfrog(spark):
+    """One value of a key holds nearly all rows, so one cell does, whatever the shares are."""
+    a, b, c = spark.range(4000).selectExpr("if(id < 3900, 0, id) AS x", "id AS k"), spark.range(50).selectExpr("id AS x", "id AS y"), spark.range(50).selectExpr("id AS y")
+    query = MultiJoin.build({"a": a, "b": b, "c": c}, ["a.x = b.x", "b.y = c.y"])
+    for shares in ((8, 1), (2, 4)):
+        cells = {}
+        for r in query.relations:
+            for cell, n in routed(query, query.graph(), r, shares).groupBy(CELL).count().collect():
+                cells[cell] = cells.get(cell, 0) + n
+        assert largest_cell(query, shares, 10**9) == max(cells.values()) > 3900
+    for most, large in ((3900, True), (4200, False)):
+        planner = Planner(mode="one-round", local="leapfrog", cells=8, leapfrog_rows=most)
+        assert planner.plan(query).count() == 3900 + 0
+        assert any("too large for leapfrog" in d for d in planner.decisions) == large
