@@ -50,7 +50,7 @@ def joins_of_nations_alone(df):
 
 
 @here
-@pytest.mark.parametrize("name", ["cycle4_derived", "cycle_tails"])
+@pytest.mark.parametrize("name", ["cycle4_derived", "cycle_tails", "cycle4_having"])
 def test_chains_close_cycles_instead_of_multiplying_rows(spark, name):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
