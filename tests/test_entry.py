@@ -50,7 +50,7 @@ def joins_of_nations_alone(df):
 
 
 @here
-@pytest.mark.parametrize("name", ["cycle4_derived", "cycle_tails", "cycle4_having", "cycle4_order_limit", "cycle4_sql", "cycle4_exists", "cycle4_distinct", "cycle4_mixed", "cycle4_union", "cycle4_window", "cycle4_with", "left_deep_hints"])
+@pytest.mark.parametrize("name", ["cycle4_derived", "cycle_tails", "cycle4_having", "cycle4_order_limit", "cycle4_sql", "cycle4_exists", "cycle4_distinct", "cycle4_mixed", "cycle4_union", "cycle4_window", "cycle4_with", "left_deep_hints", "cycle_tails_one_round"])
 def test_chains_close_cycles_instead_of_multiplying_rows(spark, name):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
