@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from manyfold.queries import ORACLES, QUERIES
+from manyfold.queries import JOINS, ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.1"  # for plans only
@@ -58,3 +58,14 @@ def test_chains_close_cycles_instead_of_multiplying_rows(spark, name):
         assert not joins_of_nations_alone(QUERIES[name](spark, LARGER))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@here
+def test_cells_too_large_for_leapfrog_close_cycles_too(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not joins_of_nations_alone(JOINS["cycle_tails"].run("one-round", local="leapfrog", leapfrog_rows=1)(spark, LARGER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
