@@ -69,3 +69,14 @@ def test_cells_too_large_for_leapfrog_close_cycles_too(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
+
+@here
+def test_few_values_of_a_key_fill_few_cells(spark):
+    """Lines have seven quantities: whatever the cells, one holds far more than the average, and leapfrog leaves it to joins."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        df = JOINS["float_keys"].run("one-round", local="leapfrog", leapfrog_rows=600)(spark, SMALL)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
