@@ -1,6 +1,7 @@
 """The driver contract: names, schemas, and a few registered queries against their SQL in DuckDB."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -80,3 +81,21 @@ def test_few_values_of_a_key_fill_few_cells(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("mode,more", [("default", {}), ("mixed", {"bias": 1e6})])
+def test_small_relations_that_multiply_are_dealt_to_all_cores(spark, tmp_path, mode, more):
+    """Two relations beyond a broadcast that would share one shuffle partition: the first is dealt out evenly, each in more parts than cores."""
+    spark.range(400).selectExpr("id AS c_custkey", "cast(id % 3 AS int) AS c_nationkey", "cast(id % 2 AS string) AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(60).selectExpr("id AS s_suppkey", "cast(id % 3 AS int) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        df = JOINS["self_join"].run(mode, **more)(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        parts = [int(x) for x in re.findall(r"Repartition (\d+), true", plan)]
+        assert parts and min(parts) > spark.sparkContext.defaultParallelism, plan
+        want = sorted((x, y, s) for x in range(400) for y in range(x + 1, 400) if x % 6 == y % 6 for s in range(x % 3, 60, 3))
+        assert sorted(map(tuple, df.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
