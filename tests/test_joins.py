@@ -356,3 +356,12 @@ def test_rows_are_sieved_before_a_relation_that_closes_a_cycle(spark, mode, more
         assert rows(got) == rows(spark.sql(text)) and got.count() > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rounds_of_sparks_joins_take_fewer_cells_where_that_saves_copies(spark):
+    frame = lambda a, b: spark.range(40).selectExpr(f"id AS {a}", f"id AS {b}")
+    query = MultiJoin.build({"a": frame("x", "y"), "b": frame("y", "z"), "c": frame("z", "x")}, ["a.x = c.x", "a.y = b.y", "b.z = c.z"])
+    graph, stats = query.graph(), {r: RelationStats(3_000_000, 0, {}, {}) for r in "abc"}
+    assert np.prod(Planner(cells=64)._shares(query, graph, stats, "leapfrog")) == 64
+    assert np.prod(Planner(cells=64)._shares(query, graph, stats, "joins")) == 8  # two for each of four cores
+    assert np.prod(Planner(cells=64, cell_rows=1_000_000)._shares(query, graph, stats, "joins")) > 8  # else cells grow too large
