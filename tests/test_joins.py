@@ -365,3 +365,12 @@ def test_rounds_of_sparks_joins_take_fewer_cells_where_that_saves_copies(spark):
     assert np.prod(Planner(cells=64)._shares(query, graph, stats, "leapfrog")) == 64
     assert np.prod(Planner(cells=64)._shares(query, graph, stats, "joins")) == 8  # two for each of four cores
     assert np.prod(Planner(cells=64, cell_rows=1_000_000)._shares(query, graph, stats, "joins")) > 8  # else cells grow too large
+
+
+def test_cells_too_large_for_leapfrog_are_dealt_anew_for_sparks_joins(spark):
+    engine = Engine(spark, Planner(mode="one-round", cells=64, local="leapfrog", leapfrog_rows=0))
+    frames = {r: spark.range(60).selectExpr(f"id AS {a}", f"id AS {b}") for r, a, b in (("a", "x", "y"), ("b", "y", "z"), ("c", "z", "x"))}
+    got = engine.join(frames, ["a.x = c.x", "a.y = b.y", "b.z = c.z"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 8" in plan and ", 64" not in plan
+    assert got.count() == 60
