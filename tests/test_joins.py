@@ -370,7 +370,21 @@ def test_rounds_of_sparks_joins_take_fewer_cells_where_that_saves_copies(spark):
 def test_cells_too_large_for_leapfrog_are_dealt_anew_for_sparks_joins(spark):
     engine = Engine(spark, Planner(mode="one-round", cells=64, local="leapfrog", leapfrog_rows=0))
     frames = {r: spark.range(60).selectExpr(f"id AS {a}", f"id AS {b}") for r, a, b in (("a", "x", "y"), ("b", "y", "z"), ("c", "z", "x"))}
-    got = engine.join(frames, ["a.x = c.x", "a.y = b.y", "b.z = c.z"])
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "RepartitionByExpression" in plan and ", 8" in plan and ", 64" not in plan
-    assert got.count() == 60
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = engine.join(frames, ["a.x = c.x", "a.y = b.y", "b.z = c.z"])
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and ", 8" in plan and ", 64" not in plan
+        assert got.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_large_relation_with_few_keys_is_not_dealt_where_the_others_can_be_broadcast(spark):
+    engine = Engine(spark, Planner(mode="one-round", cells=8, local="leapfrog", leapfrog_rows=10))
+    large = spark.range(3000).selectExpr("id", "id % 3 AS k", "repeat('x', 10000) AS wide")
+    small = spark.range(6).selectExpr("id % 3 AS k", "id % 3 % 2 AS m")
+    last = spark.range(2).selectExpr("id AS m", "concat('n', id) AS name")
+    got = engine.join({"l": large, "s": small, "n": last}, ["l.k = s.k", "s.m = n.m"], [("l.id", "id"), ("n.name", "name")])
+    assert "RepartitionByExpression" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 6000
