@@ -11,6 +11,7 @@ from manyfold.engine import Engine
 from manyfold.operators.binary import join
 from manyfold.operators.hypercube import CELL, largest_cell, routed
 from manyfold.operators.leapfrog import matches, matches_by_block
+from manyfold.operators.whole import shape
 from manyfold.plans.cost import SampleEstimator
 from manyfold.plans.graph import QueryGraph
 from manyfold.plans.planner import ByDistinct, Planner
@@ -388,3 +389,50 @@ def test_a_large_relation_with_few_keys_is_not_dealt_where_the_others_can_be_bro
     got = engine.join({"l": large, "s": small, "n": last}, ["l.k = s.k", "s.m = n.m"], [("l.id", "id"), ("n.name", "name")])
     assert "RepartitionByExpression" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == 6000
+
+
+def edges(spark, wide=False):
+    """A derived relation with duplicates, nulls, negative keys and, if wide, keys beyond four bytes."""
+    pairs = [(None if k % 97 == 0 else k * 7 % 23 - 5, None if k % 89 == 0 else k * 11 % 19 - 3) for k in range(260)]
+    far = 1 << 40 if wide else 0
+    df = spark.createDataFrame([(p and p + far, q and q + far) for p, q in pairs], "p long, q long")
+    return df.groupBy("p", "q").count().select("p", "q", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("p", "q")
+
+
+CLIQUE = ["ab.p = ac.p", "ab.p = ad.p", "ab.q = bc.p", "ab.q = bd.p", "ac.q = bc.q", "ac.q = cd.p", "ad.q = bd.q", "ad.q = cd.q"]
+CLIQUE_OUT = [("ab.p", "a"), ("ab.q", "b"), ("ac.q", "c"), ("ad.q", "d")]
+
+
+def clique_by_whole(spark, mode, wide=False, **more):
+    """The clique over whole relations equals Spark's chain, in a plan without an exchange; returns what was decided."""
+    e = edges(spark, wide)
+    relations = dict.fromkeys(("ab", "ac", "ad", "bc", "bd", "cd"), e)
+    want = rows(Engine(spark, Planner(whole_rows=0)).join(relations, CLIQUE, CLIQUE_OUT))
+    planner = Planner(mode=mode, cells=8, whole_least=1, **more)
+    got = Engine(spark, planner).join(relations, CLIQUE, CLIQUE_OUT)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == want and len(want) > 100
+    planner.release()
+    return planner.decisions
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_a_round_over_keys_alone_goes_by_whole_relations(spark, wide):
+    assert any(d.startswith("whole relations") and "(1 distinct)" in d for d in clique_by_whole(spark, "one-round", wide))
+
+
+def test_whole_relations_of_one_variable_and_of_unlike_widths(spark):
+    """Also a relation that holds one variable twice, and parallel relations."""
+    e = edges(spark)
+    few = spark.createDataFrame([(k,) for k in [*range(-5, 20, 2), 3, None]], "k short")
+    ints = e.select(F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q"))
+    relations = {"ab": e, "bc": ints, "ca": e, "again": ints, "a": few, "loop": e}
+    text = ["ab.q = bc.p", "bc.q = ca.p", "ca.q = ab.p", "again.p = ab.p", "again.q = ab.q", "a.k = ab.p", "loop.p = bc.q", "loop.q = bc.q"]
+    out = [("ab.p", "a"), ("bc.p", "b"), ("ca.p", "c"), ("a.k", "k")]
+    want = Engine(spark, Planner(whole_rows=0)).join(relations, text, out)
+    planner = Planner(mode="one-round", cells=8, whole_least=0)
+    planner._whole = lambda part, graph, stats: shape(part, graph, planner.variables.order(graph, stats))
+    got = Engine(spark, planner).join(relations, text, out)
+    assert any(d.startswith("whole relations") for d in planner.decisions)
+    assert got.schema == want.schema and rows(got) == rows(want) and want.count() > 0
+    planner.release()
