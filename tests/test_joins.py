@@ -436,3 +436,7 @@ def test_whole_relations_of_one_variable_and_of_unlike_widths(spark):
     assert any(d.startswith("whole relations") for d in planner.decisions)
     assert got.schema == want.schema and rows(got) == rows(want) and want.count() > 0
     planner.release()
+
+
+def test_cells_too_large_for_leapfrog_go_by_whole_relations(spark):
+    assert any(d.startswith("whole relations") for d in clique_by_whole(spark, "one-round", local="leapfrog", leapfrog_rows=0))
