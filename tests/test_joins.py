@@ -440,3 +440,12 @@ def test_whole_relations_of_one_variable_and_of_unlike_widths(spark):
 
 def test_cells_too_large_for_leapfrog_go_by_whole_relations(spark):
     assert any(d.startswith("whole relations") for d in clique_by_whole(spark, "one-round", local="leapfrog", leapfrog_rows=0))
+
+
+def test_default_goes_by_whole_relations_where_all_are_derived(spark):
+    assert any(d.startswith("whole relations") for d in clique_by_whole(spark, "default"))
+    e = edges(spark)
+    plain = spark.createDataFrame([(k % 23 - 5, k % 19 - 3) for k in range(200)], "p long, q long")
+    planner = Planner(whole_least=1)
+    Engine(spark, planner).join({"ab": e, "bc": e, "ac": plain}, ["ab.q = bc.p", "ab.p = ac.p", "ac.q = bc.q"], [("ab.p", "a"), ("bc.q", "c")])
+    assert planner.decisions == ["multi-round: all"] and not planner.kept
