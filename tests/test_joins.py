@@ -449,3 +449,7 @@ def test_default_goes_by_whole_relations_where_all_are_derived(spark):
     planner = Planner(whole_least=1)
     Engine(spark, planner).join({"ab": e, "bc": e, "ac": plain}, ["ab.q = bc.p", "ab.p = ac.p", "ac.q = bc.q"], [("ab.p", "a"), ("bc.q", "c")])
     assert planner.decisions == ["multi-round: all"] and not planner.kept
+
+
+def test_a_core_goes_by_whole_relations(spark):
+    assert any(d.startswith("whole relations") for d in clique_by_whole(spark, "core", bias=1e-6))
