@@ -99,3 +99,41 @@ def test_small_relations_that_multiply_are_dealt_to_all_cores(spark, tmp_path, m
         assert sorted(map(tuple, df.collect())) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def customers_and_suppliers(spark, folder, customers, suppliers):
+    spark.range(customers).selectExpr("id AS c_custkey", "cast(id % 3 AS int) AS c_nationkey", "cast(id % 2 AS string) AS c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    spark.range(suppliers).selectExpr("id AS s_suppkey", "cast(id % 3 AS int) AS s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+
+
+def sorted_joins(df):
+    """Sorts of the rows of a join."""
+    found = []
+
+    def walk(node):
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        joins = any(walk(c) for c in below)
+        if node.nodeName() == "Sort" and joins:
+            found.append(node.toString())
+        return joins or "Join" in node.nodeName()
+
+    walk(df._jdf.queryExecution().executedPlan().initialPlan())
+    return found
+
+
+def test_a_round_does_not_sort_rows_that_multiply(spark, tmp_path):
+    """Customers meet all suppliers of their nation first: 16,000,000 rows, which spilled as they were sorted to meet customers again."""
+    customers_and_suppliers(spark, tmp_path, 8_000, 6_000)
+    df = JOINS["self_join"].run("one-round")(spark, str(tmp_path))
+    assert "ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    assert not sorted_joins(df)
+
+
+def test_rounds_hash_only_what_has_room(spark, tmp_path, monkeypatch):
+    customers_and_suppliers(spark, tmp_path, 400, 60)
+    want = sorted((x, y, s) for x in range(400) for y in range(x + 1, 400) if x % 6 == y % 6 for s in range(x % 3, 60, 3))
+    for limit, hashed in ((64 << 20, True), (1_000, False)):
+        monkeypatch.setattr("manyfold.plans.planner.BROADCAST_LIMIT", limit)
+        df = JOINS["self_join"].run("one-round", hash_least=1)(spark, str(tmp_path))
+        assert ("ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()) == hashed
+        assert sorted(map(tuple, df.collect())) == want
