@@ -137,3 +137,22 @@ def test_rounds_hash_only_what_has_room(spark, tmp_path, monkeypatch):
         df = JOINS["self_join"].run("one-round", hash_least=1)(spark, str(tmp_path))
         assert ("ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()) == hashed
         assert sorted(map(tuple, df.collect())) == want
+
+
+@pytest.mark.parametrize("mode", ["mixed", "core"])
+def test_small_relations_that_multiply_are_no_round(spark, tmp_path, mode):
+    """Cells by three nations would leave cores idle; dealt out evenly, with the others broadcast, nothing more is sent."""
+    customers_and_suppliers(spark, tmp_path, 400, 60)
+    want = sorted((x, y, s) for x in range(400) for y in range(x + 1, 400) if x % 6 == y % 6 for s in range(x % 3, 60, 3))
+    customers_and_suppliers(spark, tmp_path / "larger", 10_000, 200)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        for folder, more in ((tmp_path / "larger", {}), (tmp_path, {"hash_least": 1})):
+            df = JOINS["self_join"].run(mode, **more)(spark, str(folder))
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            parts = [int(x) for x in re.findall(r"Repartition (\d+), true", plan)]
+            assert parts and min(parts) > spark.sparkContext.defaultParallelism and "__cell" not in plan, plan
+        assert sorted(map(tuple, df.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
