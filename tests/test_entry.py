@@ -122,8 +122,8 @@ def sorted_joins(df):
 
 
 def test_a_round_does_not_sort_rows_that_multiply(spark, tmp_path):
-    """Customers meet all suppliers of their nation first: 16,000,000 rows, which spilled as they were sorted to meet customers again."""
-    customers_and_suppliers(spark, tmp_path, 8_000, 6_000)
+    """Customers meet all suppliers of their nation first: 150,000,000 rows, which spilled as they were sorted to meet customers again."""
+    customers_and_suppliers(spark, tmp_path, 30_000, 15_000)
     df = JOINS["self_join"].run("one-round")(spark, str(tmp_path))
     assert "ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()
     assert not sorted_joins(df)
@@ -148,7 +148,7 @@ def test_small_relations_that_multiply_are_no_round(spark, tmp_path, mode):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
     try:
-        for folder, more in ((tmp_path / "larger", {}), (tmp_path, {"hash_least": 1})):
+        for folder, more in ((tmp_path / "larger", {}), (tmp_path, {"whole_least": 1})):
             df = JOINS["self_join"].run(mode, **more)(spark, str(folder))
             plan = df._jdf.queryExecution().optimizedPlan().toString()
             parts = [int(x) for x in re.findall(r"Repartition (\d+), true", plan)]
